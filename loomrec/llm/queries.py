@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.llm import chat, mixing, secrets
+from loomrec.llm import chat, mixing, secrets, url_filters
 from loomrec.llm.common import documents
 from loomrec.session import fresh_path
 
 
+#: The rules of op1 (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -38,8 +47,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix_sources": op4_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
-
+    return {"op1_url_filter": op1_url_filter, "op4_mix_sources": op4_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
+
+
+OP1_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '') AS h, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT page_id, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM u),
+m AS (SELECT page_id, host, path, CASE
+        WHEN path LIKE '/en/%' AND (host = 'www.example.com' OR host LIKE '%.www.example.com') THEN 'www.example.com/en/'
+        WHEN path LIKE '/en/%' AND (host = 'example.com' OR host LIKE '%.example.com') THEN 'example.com/en/'
+        WHEN path LIKE '/es/%' AND (host = 'net' OR host LIKE '%.net') THEN 'net/es/'
+        WHEN path LIKE '/fr/%' AND (host = 'net' OR host LIKE '%.net') THEN 'net/fr/'
+        WHEN path LIKE '/%' AND (host = 'com' OR host LIKE '%.com') THEN 'com/' END AS rule FROM l)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM m
+"""
 
 #: The base rules and the added ones over every text: positions are sums of what lies between matches and of the matches.
 OP9_SQL = """
@@ -88,4 +109,4 @@ FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id GROUP BY w.conv_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
