@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.llm import chat, mixing, secrets, url_filters
+from loomrec.llm import chat, exact_dedup, mixing, quality, secrets, url_filters
 from loomrec.llm.common import documents
 from loomrec.session import fresh_path
 
@@ -21,10 +21,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(documents(spark, sf_dir)).drop("rid")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ledger = secrets.BlobLedger(spark, fresh_path(spark, "ledger"))
@@ -47,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op4_mix_sources": op4_mix_sources, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
+    return {"op1_url_filter": op1_url_filter, "op3_quality_rules": op3_quality_rules, "op4_mix_sources": op4_mix_sources, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
 
 
 OP1_SQL = r"""
@@ -62,6 +70,12 @@ m AS (SELECT page_id, host, path, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM m
 """
 
+OP7_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t, length(coalesce(text, '')) AS c FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST)
+"""
+
 #: The base rules and the added ones over every text: positions are sums of what lies between matches and of the matches.
 OP9_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -109,4 +123,4 @@ FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id GROUP BY w.conv_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
