@@ -113,14 +113,17 @@ def block_plan(sized: DataFrame, weights=(5, 2, 1), max_repeat: int = 3, block_w
         .withColumn("slot0", F.coalesce(F.sum("drawn").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where("drawn > 0")
     )
+    # The table of shards is small and comes from one task; its slots are many.
+    dealt = shards.repartition(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "shard")
     slots = (
-        shards.withColumn("slot", F.explode(F.sequence("slot0", F.col("slot0") + F.col("drawn") - 1)))
+        dealt.withColumn("slot", F.explode(F.sequence("slot0", F.col("slot0") + F.col("drawn") - 1)))
         .where(F.col("slot") < max_repeat * F.col("n_blocks"))
         .withColumn("salt", F.hash("src", F.floor(F.col("slot") / F.col("n_blocks")), F.lit(seed)))
         .select("src", "slot", "n_blocks", "pow2", "salt")
     )
     draws = _shuffled(slots).groupBy("src", "block").agg(F.count(F.lit(1)).alias("draws"))
-    return targets, spans.join(draws, ["src", "block"]).select("rid", "first", "words", "draws")
+    # The planner knows nothing of how many rows an explode makes, so it is told not to broadcast them.
+    return targets, spans.join(draws.hint("merge"), ["src", "block"]).select("rid", "first", "words", "draws")
 
 
 def mix_report(docs: DataFrame, **params) -> DataFrame:
