@@ -24,7 +24,8 @@ from loomrec.llm.common import WHITE, words_of
 #: The symbols that are counted.
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 BUCKETS = 1 << 15
-THRESHOLD = -0.25
+PRIOR = 5.0
+THRESHOLD = -0.11
 
 
 def _buckets(hashes: Column, n: Column, buckets: int) -> Column:
@@ -44,7 +45,11 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, weights: log(target share / raw share) of each bucket, each count raised by one."""
+    """One row, weights: log(target share / raw share) of each bucket.
+
+    The shares are of counts: those in the target against those expected there from the raw corpus,
+    both raised by ``PRIOR``, so a bucket of which little is known weighs little.
+    """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
     grams = (
         _hashed(docs.select("doc_id", "text").join(good, "doc_id", "left"))
@@ -53,10 +58,10 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
     )
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     every = docs.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("bucket"))
-    filled = every.join(counts, "bucket", "left").select("bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), (F.coalesce("target", F.lit(0)) + 1).alias("target"))
+    filled = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     listed = filled.groupBy().agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    trusted = F.col("targets") > buckets
-    return listed.select(F.transform("all", lambda b: F.when(trusted, F.log(b["target"] / F.col("targets")) - F.log(b["raw"] / F.col("raws"))).otherwise(F.lit(0.0))).alias("weights"))
+    expected = F.col("targets") / F.greatest("raws", F.lit(1))
+    return listed.select(F.transform("all", lambda b: F.log((b["target"] + PRIOR) / (b["raw"] * expected + PRIOR))).alias("weights"))
 
 
 def base_columns(hashed: DataFrame) -> DataFrame:
