@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.llm import chat, exact_dedup, mixing, quality, secrets, url_filters
+from loomrec.llm import chat, exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, url_filters
 from loomrec.llm.common import documents
 from loomrec.session import fresh_path
 
@@ -21,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -29,6 +33,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    train = docs.where(~langid.held_out(F.col("doc_id"), 4, 2))
+    return langid.identify(docs, langid.learn(train), 4, 2)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir)).drop("rid")
 
@@ -55,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_quality_rules": op3_quality_rules, "op4_mix_sources": op4_mix_sources, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
+    return {"op1_url_filter": op1_url_filter, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_mix_sources": op4_mix_sources, "op5_language_id": op5_language_id, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
 
 
 OP1_SQL = r"""
