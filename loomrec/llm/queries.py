@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.llm import chat, exact_dedup, langid, mixing, quality, secrets, sentencepiece_codec, url_filters
+from loomrec.llm import chat, exact_dedup, langid, mixing, near_dedup, quality, secrets, sentencepiece_codec, toxicity, url_filters
 from loomrec.llm.common import documents
 from loomrec.session import fresh_path
 
@@ -39,10 +39,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(train), 4, 2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(documents(spark, sf_dir)).drop("rid")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_report(documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ledger = secrets.BlobLedger(spark, fresh_path(spark, "ledger"))
@@ -65,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_mix_sources": op4_mix_sources, "op5_language_id": op5_language_id, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
+    return {"op1_url_filter": op1_url_filter, "op2_sentencepiece": op2_sentencepiece, "op3_quality_rules": op3_quality_rules, "op4_mix_sources": op4_mix_sources, "op5_language_id": op5_language_id, "op6_toxicity": op6_toxicity, "op7_exact_dedup": op7_exact_dedup, "op8_near_dedup": op8_near_dedup, "op9_secret_scan": op9_secret_scan, "op10_chat_format": op10_chat_format}
 
 
 OP1_SQL = r"""
@@ -86,6 +95,20 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id NULLS LAST)
 """
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+u AS (SELECT rid, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) >= 5),
+g AS (SELECT rid, concat(w, ' ', lead(w, 1) OVER o, ' ', lead(w, 2) OVER o, ' ', lead(w, 3) OVER o, ' ', lead(w, 4) OVER o) AS item, lead(w, 4) OVER o AS last FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+e AS (SELECT DISTINCT rid, item FROM g WHERE last IS NOT NULL UNION ALL SELECT rid, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+c AS (SELECT rid, count(*) AS n FROM e GROUP BY rid),
+n AS (SELECT rid, doc_id, coalesce(c.n, 0) AS n_shingles FROM w LEFT JOIN c USING (rid)),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS common FROM e a JOIN e b ON a.item = b.item AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+r AS (SELECT rid AS node, rid AS reach FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT n.doc_id, n.n_shingles, min(m.doc_id) AS component_id, n.doc_id = min(m.doc_id) AS kept
+FROM n JOIN r ON r.node = n.rid JOIN n m ON m.rid = r.reach GROUP BY n.rid, n.doc_id, n.n_shingles
+"""
+
 #: The base rules and the added ones over every text: positions are sums of what lies between matches and of the matches.
 OP9_SQL = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -133,4 +156,4 @@ FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id GROUP BY w.conv_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op8_near_dedup": OP8_SQL, "op9_secret_scan": OP9_SQL, "op10_chat_format": OP10_SQL}
