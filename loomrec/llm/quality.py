@@ -51,8 +51,9 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
     both raised by ``PRIOR``, so a bucket of which little is known weighs little.
     """
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
+    # Labels grow with the corpus: the join is a merge join at every size, never a broadcast.
     grams = (
-        _hashed(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+        _hashed(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"))
         .where("n > 0")
         .select("good", F.explode(_buckets(F.col("hashes"), F.col("n"), buckets)).alias("bucket"))
     )
