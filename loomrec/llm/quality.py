@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.common import WHITE, words_of
+from loomrec.session import write_through
 
 #: The symbols that are counted.
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
@@ -106,4 +107,6 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", "text")
-    return judge(packed, labels, keep=("doc",), **params).where("kept").select("doc.*")
+    # Written first: a filter pushed below the judgement would repeat all of its expressions.
+    judged = write_through(judge(packed, labels, keep=("doc",), **params).select("doc", "kept"), "quality")
+    return judged.where("kept").select("doc.*")
