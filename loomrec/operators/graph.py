@@ -46,22 +46,24 @@ def walk_statistics(rows: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 def path_hops(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
     """from_id, to_id, hops of each pair: least number of references from one to the other, null beyond ``most``.
 
-    Walks forward from the one end and back from the other, half the hops each, and joins where
-    they meet.
+    Walks forward from the distinct starts and back from the distinct ends, half the hops each, and
+    joins the pairs where the walks meet.
     """
 
-    def reach(start: str, here: str, there: str, hops: int) -> DataFrame:
-        front = pairs.select("from_id", "to_id", F.col(start).alias("node")).distinct()
+    def reach(end: str, here: str, there: str, hops: int) -> DataFrame:
+        front = pairs.select(end, F.col(end).alias("node")).distinct()
         levels = front.withColumn("d", F.lit(0).cast("long"))
         for hop in range(1, hops + 1):
-            step = front.join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").select("from_id", "to_id", F.col("next").alias("node")).distinct()
-            front = write_through(step.join(levels, ["from_id", "to_id", "node"], "left_anti"), "path-hop")
+            step = front.join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").select(end, F.col("next").alias("node")).distinct()
+            front = write_through(step.join(levels, [end, "node"], "left_anti"), "path-hop")
             levels = levels.unionByName(front.withColumn("d", F.lit(hop).cast("long")))
+            if front.isEmpty():
+                break
         return levels
 
     ahead = reach("from_id", "src", "dst", (most + 1) // 2)
     back = reach("to_id", "dst", "src", most // 2).withColumnRenamed("d", "e")
-    met = ahead.join(back, ["from_id", "to_id", "node"]).groupBy("from_id", "to_id").agg(F.min(F.col("d") + F.col("e")).alias("hops"))
+    met = pairs.distinct().join(ahead, "from_id").join(back, ["to_id", "node"]).groupBy("from_id", "to_id").agg(F.min(F.col("d") + F.col("e")).alias("hops"))
     return pairs.join(met, ["from_id", "to_id"], "left")
 
 

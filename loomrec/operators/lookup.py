@@ -58,13 +58,17 @@ def type_directory(records: DataFrame) -> DataFrame:
 
 def at_path(body: Column, path: str) -> Column:
     """The values (array of variant) at a dot path of a variant body; [] is every element. Missing is an empty array."""
+
+    def step(values: Column, at: str, kind: str) -> Column:
+        return F.filter(F.transform(values, lambda v: F.try_variant_get(v, at, kind)), lambda v: v.isNotNull())
+
     here = F.array(body)
     for part in path.split("."):
         name, any_element = part.removesuffix("[]"), part.endswith("[]")
         if name:
-            here = F.filter(F.transform(here, lambda v, n=name: F.try_variant_get(v, f"$['{n}']", "variant")), lambda v: v.isNotNull())
+            here = step(here, f"$['{name}']", "variant")
         if any_element:
-            here = F.flatten(F.filter(F.transform(here, lambda v: F.try_variant_get(v, "$", "array<variant>")), lambda a: a.isNotNull()))
+            here = F.flatten(step(here, "$", "array<variant>"))
     return here
 
 

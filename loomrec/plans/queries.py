@@ -319,11 +319,13 @@ def calibrated_defaults(spark, d):
 
 # Odds of selection lists
 
-LISTS = "WITH e AS (SELECT l_orderkey AS list_id, l_linenumber AS ordinal, l_discount * 5 AS p, l_quantity AS quantity, l_partkey FROM lineitem)"
+#: Line numbers repeat within an order; rows that agree in all of these are alike.
+LINE_ORDER = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_extendedprice)"
+LISTS = f"WITH e AS (SELECT l_orderkey AS list_id, {LINE_ORDER} AS ordinal, l_discount * 4.7123 AS p, l_quantity AS quantity, l_partkey FROM lineitem)"
 
 
 def _lists(spark, d):
-    return table(spark, d, "lineitem").selectExpr("l_orderkey as list_id", "l_linenumber as ordinal", "l_discount * 5 as p", "l_quantity as quantity", "l_partkey")
+    return table(spark, d, "lineitem").selectExpr("l_orderkey as list_id", f"cast({LINE_ORDER} as bigint) as ordinal", "l_discount * 4.7123D as p", "l_quantity as quantity", "l_partkey")
 
 
 @query(LISTS + " SELECT list_id, ordinal, round(p * coalesce(product(1 - p) OVER (PARTITION BY list_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1), 6) AS chosen FROM e")
@@ -344,11 +346,7 @@ def use_all_odds(spark, d):
     SELECT list_id, i AS ordinal, round(sum(w / k), 6) AS chosen FROM (SELECT list_id, w, k, mask, unnest(range(1, n + 1)) AS i FROM m) WHERE (mask >> (i - 1)::BIGINT) & 1 = 1 GROUP BY list_id, i"""
 )
 def pool_odds(spark, d):
-    numbered = _lists(spark, d)
-    from pyspark.sql import Window
-
-    numbered = numbered.withColumn("ordinal", F.row_number().over(Window.partitionBy("list_id").orderBy("ordinal")).cast("long"))
-    return odds.pool(numbered, "list_id").select("list_id", "ordinal", F.round("chosen", 6).alias("chosen"))
+    return odds.pool(_lists(spark, d), "list_id").select("list_id", "ordinal", F.round("chosen", 6).alias("chosen"))
 
 
 @query(LISTS + ", r AS (SELECT *, sum(CASE WHEN lag_or THEN 0 ELSE 1 END) OVER (PARTITION BY list_id ORDER BY ordinal) AS run FROM (SELECT *, coalesce(lag(quantity > 25) OVER (PARTITION BY list_id ORDER BY ordinal), false) AS lag_or FROM e)), g AS (SELECT list_id, run, 1 - product(1 - p) AS g FROM r GROUP BY list_id, run) SELECT list_id, round(product(g), 6) AS gate FROM g GROUP BY list_id")
@@ -358,9 +356,9 @@ def gate_probability(spark, d):
 
 
 @query(
-    """WITH o AS (SELECT o_custkey, o_orderkey, 0.5 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders),
+    """WITH o AS (SELECT o_custkey, o_orderkey, 0.4937 AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal FROM orders),
     c AS (SELECT o_custkey, o_orderkey, p * power(1 - p, ordinal - 1) AS chosen FROM o),
-    t AS (SELECT l_orderkey, l_partkey, 1 - product(1 - l_discount) AS presence, sum(l_discount * l_quantity) AS expected FROM lineitem GROUP BY ALL)
+    t AS (SELECT l_orderkey, l_partkey, 1 - product(1 - l_discount * 0.9713) AS presence, sum(l_discount * 0.9713 * l_quantity) AS expected FROM lineitem GROUP BY ALL)
     SELECT o_custkey AS list_id, l_partkey AS item, round(least(sum(chosen * presence), 1), 6) AS presence, round(sum(chosen * expected), 6) AS expected FROM c JOIN t ON t.l_orderkey = c.o_orderkey GROUP BY o_custkey, l_partkey"""
 )
 def drop_table(spark, d):
@@ -368,8 +366,8 @@ def drop_table(spark, d):
 
     number = F.row_number().over(Window.partitionBy("list_id").orderBy("target")).cast("long")
     orders = table(spark, d, "orders")
-    upper = orders.selectExpr("o_custkey as list_id", "'first' as mode", f"o_orderkey + {BASE} as target", "true as is_list", "0.5D as p", "1.0D as quantity", "1.0D as list_factor").withColumn("ordinal", number)
-    lower = table(spark, d, "lineitem").selectExpr(f"l_orderkey + {BASE} as list_id", "'all' as mode", "l_partkey as target", "false as is_list", "l_discount as p", "l_quantity as quantity", "1.0D as list_factor", "cast(l_linenumber as bigint) as ordinal")
+    upper = orders.selectExpr("o_custkey as list_id", "'first' as mode", f"o_orderkey + {BASE} as target", "true as is_list", "0.4937D as p", "1.0D as quantity", "1.0D as list_factor").withColumn("ordinal", number)
+    lower = table(spark, d, "lineitem").selectExpr(f"l_orderkey + {BASE} as list_id", "'all' as mode", "l_partkey as target", "false as is_list", "l_discount * 0.9713D as p", "l_quantity as quantity", "1.0D as list_factor", "cast(l_linenumber as bigint) as ordinal")
     out = odds.drop_tables(upper.unionByName(lower), 2).where(F.col("list_id") < BASE)
     return out.select("list_id", "item", F.round("presence", 6).alias("presence"), F.round("expected", 6).alias("expected"))
 
@@ -384,7 +382,7 @@ def overlap_ladder(spark, d):
     return odds.ladders(_lists(spark, d), "list_id").select("list_id", "ordinal", F.round("cascade_odds", 6).alias("cascade_odds"))
 
 
-@query("SELECT l_orderkey AS list_id, count(DISTINCT l_quantity // 10) AS tiers FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_quantity // 10) > 1")
+@query("SELECT l_orderkey AS list_id, count(DISTINCT floor(l_quantity / 10)) AS tiers FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT floor(l_quantity / 10)) > 1")
 def level_tiers(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("list_id")).agg(F.count_distinct(F.floor(F.col("l_quantity") / 10)).alias("tiers")).where("tiers > 1")
 
