@@ -155,9 +155,10 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
         .withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
         .withColumn("mine", F.expr("filter(spans, s -> s.draws >= epoch)"))
         .withColumn("n", F.expr("aggregate(mine, 0L, (a, s) -> a + s.words)"))
-        .withColumn("whole", F.expr("size(mine) = size(spans)") & (F.col("n") == n_words(F.col("row.text"))))
-        .withColumn("pieces", F.when(~F.col("whole"), F.regexp_extract_all(F.col("row.text"), F.lit(f"({WORD_CLASS}+{WHITE_CLASS}*)"), 1)))
+        .withColumn("pieces", F.regexp_extract_all(F.coalesce(F.col("row.text"), F.lit("")), F.lit(f"({WORD_CLASS}+{WHITE_CLASS}*)"), 1))
     )
+    # pieces is used twice below, so the planner does not move its expression into the lambda over the spans.
+    whole = (F.expr("size(mine) = size(spans)") & (F.col("n") == F.size("pieces"))) | F.col("pieces").isNull()
     part = F.expr("array_join(transform(mine, s -> array_join(slice(pieces, cast(s.first + 1 as int), cast(s.words as int)), '')), '')")
-    text = F.when(F.col("whole"), F.col("row.text")).otherwise(part)
+    text = F.when(whole, F.col("row.text")).otherwise(part)
     return epochs.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
