@@ -95,7 +95,7 @@ def decide(docs: DataFrame, rid: Column | None = None, digest_chars: int = 64, f
 
     hits = ledger.where("n > 1").select("digest")
     texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"), rid.alias("rid")).withColumn("digest", F.substring(F.sha2("norm", 256), 1, digest_chars))
-    checked = texts.select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    checked = texts.select("digest", "norm").join(hits.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     collided = write_through(checked.where("low != high").select("digest"), "dedup-collided")
 
     result = digests.join(ledger, "digest").select("digest", "rid", "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
@@ -113,4 +113,5 @@ def drop_copies(docs: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that stay, with its columns."""
     numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "dedup-docs")
     kept = decide(numbered.select("rid", "row.doc_id", "row.text"), F.col("rid"), **params).where("kept").select("rid")
-    return numbered.join(kept, "rid", "left_semi").select("row.*")
+    # Both grow with the input: a merge join at every size, never a broadcast.
+    return numbered.join(kept.hint("merge"), "rid", "left_semi").select("row.*")

@@ -151,7 +151,7 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     _, spans = block_plan(sized, **params)
     of_doc = spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("first", "words", "draws"))).alias("spans"), F.max("draws").alias("epochs"))
     epochs = (
-        kept.join(of_doc, "rid")
+        kept.join(of_doc.hint("merge"), "rid")
         .withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))))
         .withColumn("mine", F.expr("filter(spans, s -> s.draws >= epoch)"))
         .withColumn("n", F.expr("aggregate(mine, 0L, (a, s) -> a + s.words)"))

@@ -229,13 +229,14 @@ def components_of(docs: DataFrame) -> DataFrame:
     leaders = copies.select("sequence", F.col("first.rid").alias("leader"))
     reps = leaders.select(F.col("leader").alias("rid"))
 
-    keys = signed.join(reps, "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
-    bucketed = _blocked(keys, "band", "rid").join(signed.select("rid", "sketch"), "rid")
+    # Both sides of these joins grow with the input: merge joins at every size, never a broadcast.
+    keys = signed.join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
+    bucketed = _blocked(keys, "band", "rid").join(signed.select("rid", "sketch").hint("merge"), "rid")
     near = _by_group(bucketed, ["band", "low", "high"], "sketch", _candidates).distinct()
     clusters = connected(write_through(near, "near-candidates"))
 
     weighed = clusters.withColumnRenamed("node", "rid").join(signed.select("rid", "n_shingles"), "rid")
-    members = _blocked(write_through(weighed, "near-clusters"), "component", "rid", "n_shingles").join(docs.select("rid", "text"), "rid")
+    members = _blocked(write_through(weighed, "near-clusters"), "component", "rid", "n_shingles").join(docs.select("rid", "text").hint("merge"), "rid")
     links = _by_group(members, ["component", "low", "high"], "text", _confirmed)
     # Copies are linked to their leader, leaders to each other.
     found = connected(write_through(links, "near-links")).withColumnRenamed("component", "root")
@@ -254,4 +255,4 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with its columns."""
     numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "near-docs")
     kept = components_of(numbered.select("rid", "row.doc_id", "row.text")).where("kept").select("rid")
-    return numbered.join(kept, "rid", "left_semi").select("row.*")
+    return numbered.join(kept.hint("merge"), "rid", "left_semi").select("row.*")
