@@ -1,0 +1,169 @@
+"""Differences of nested bodies, with elements of arrays paired by what identifies them.
+
+Small helpers for one pair of values; ``operators.diff.nested_changes`` runs them over Spark rows.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from itertools import zip_longest
+
+#: What identifies an element, in order of precedence. Each key is a list of
+#: alternatives, each alternative a path; every key of a rule must be there.
+IDENTITIES: list[list[list[tuple[str, ...]]]] = [
+    [[("Function Type",)], [("Property",)]],
+    [[("Leveled List Entry", "Reference"), ("Leveled List Entry", "Item")], [("Leveled List Entry", "Minimum Level"), ("Leveled List Entry", "Level")]],
+    [[("Effect", "Base Effect")]],
+    [[("Component",)]],
+    [[("Item Type",)]],
+    [[("Objective", "Objective Index")]],
+    [[("Stage", "INDX", "Stage Index")]],
+    [[("Attack", "Attack Event")]],
+    [[("Faction",)]],
+    [[("Perk",)]],
+    [[("Mod",)]],
+    [[("Keyword",)], [("Sound",)]],
+    [[("Alias ID",)]],
+]
+#: Cells of the alignment table beyond which unkeyed arrays are compared as bags.
+MOST_CELLS = 250_000
+
+
+def at(value, path: tuple[str, ...]):
+    for name in path:
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
+
+
+def is_reference(value) -> bool:
+    return isinstance(value, str) and value.startswith("0x") or isinstance(value, dict) and "formid" in value
+
+
+def canonical(value):
+    """A key's value for matching: an enum is its number, a reference its id; hashable."""
+    if isinstance(value, dict):
+        value = value.get("formid", value.get("value", value))
+    return repr(value)
+
+
+def identity(sample: dict) -> list[tuple[str, ...]] | None:
+    """Paths that identify an element like ``sample``."""
+    for rule in IDENTITIES:
+        found = [next((p for p in ways if at(sample, p) is not None), None) for ways in rule]
+        if all(found):
+            return found
+    inside = next(((k,) for k, v in sample.items() if isinstance(v, dict) and not is_reference(v)), ()) if len(sample) == 1 else ()
+    body = at(sample, inside) if inside else sample
+    indexes = [k for k in sorted(body) if k == "Index" or k.endswith(" Index")]
+    if indexes:
+        return [(*inside, indexes[0])]
+    if {"name", "type", "value"} <= set(body):
+        return [(*inside, "name")]
+    references = [(*inside, k) for k in sorted(body) if is_reference(body[k])]
+    return references or None
+
+
+def _leaves(sample: dict, depth: int = 2, at_path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    out = []
+    for k in sorted(sample):
+        if isinstance(sample[k], dict) and depth > 1:
+            out += _leaves(sample[k], depth - 1, (*at_path, k))
+        elif not isinstance(sample[k], (dict, list)):
+            out.append((*at_path, k))
+    return out
+
+
+def unique_identity(a: list, b: list) -> list[tuple[str, ...]] | None:
+    """An identity that no two elements of a side share, widened by scalar leaves until it is one; None if there is none."""
+    sample = (a or b)[0]
+    keys = identity(sample)
+    if not keys:
+        return None
+    for more in [None, *_leaves(sample)]:
+        if more is not None and more not in keys:
+            keys = [*keys, more]
+        if all(len({tuple(canonical(at(x, k)) for k in keys) for x in side}) == len(side) for side in (a, b)):
+            return keys
+    return None
+
+
+def aligned(a: list, b: list) -> tuple[list, list]:
+    """(removed, added) of a longest common subsequence; of equal choices the element of ``a`` goes."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    if len(x) * len(y) > MOST_CELLS:
+        return bag(x, y)
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in reversed(range(len(x))):
+        for j in reversed(range(len(y))):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    removed, added, i, j = [], [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            removed.append(x[i])
+            i += 1
+        else:
+            added.append(y[j])
+            j += 1
+    return removed + x[i:], added + y[j:]
+
+
+def bag(a: list, b: list) -> tuple[list, list]:
+    """(removed, added) without regard to order."""
+    left, right = Counter(map(repr, a)), Counter(map(repr, b))
+
+    def rest(side: list, over: Counter) -> list:
+        out = []
+        for v in side:
+            if over[repr(v)] > 0:
+                over[repr(v)] -= 1
+                out.append(v)
+        return out
+
+    return rest(a, left - right), rest(b, right - left)
+
+
+def array_difference(a: list, b: list) -> dict | None:
+    envelope = {"count_from": len(a), "count_to": len(b)}
+    both = a + b
+    if all(isinstance(v, dict) for v in both):
+        keys = unique_identity(a, b)
+        if keys:
+            left, right = ({tuple(canonical(at(x, k)) for k in keys): (n, x) for n, x in enumerate(side)} for side in (a, b))
+            changed = [
+                {"key": [at(left[k][1], p) for p in keys], "index_from": left[k][0], "index_to": right[k][0], "changes": change}
+                for k in left
+                if k in right and (change := difference(left[k][1], right[k][1])) is not None
+            ]
+            removed, added = [v for k, (_, v) in left.items() if k not in right], [v for k, (_, v) in right.items() if k not in left]
+            if not (changed or removed or added):
+                return None
+            shared = sum(k in right for k in left)
+            return {"_array_diff": {"strategy": "keyed", "key_fields": ["/".join(k) for k in keys], **envelope, "removed": removed, "added": added, "changed": changed, "unchanged_count": shared - len(changed)}}
+    elif not any(isinstance(v, (dict, list)) for v in both):
+        removed, added = bag(a, b)
+        return {"_array_diff": {"strategy": "set", **envelope, "removed": removed, "added": added}} if removed or added else None
+    elif len(a) == len(b) and all(isinstance(v, list) for v in both):
+        changed = [{"index_from": n, "index_to": n, "changes": c} for n, (x, y) in enumerate(zip_longest(a, b)) if (c := difference(x, y)) is not None]
+        return {"_array_diff": {"strategy": "positional", **envelope, "changed": changed, "unchanged_count": len(a) - len(changed)}} if changed else None
+    removed, added = aligned(a, b)
+    return {"_array_diff": {"strategy": "unkeyed", **envelope, "removed": removed, "added": added}} if removed or added else None
+
+
+def difference(a, b):
+    """What changed from ``a`` to ``b``, None if nothing; null and absent are the same."""
+    if a == b and type(a) is type(b):
+        return None
+    if isinstance(a, dict) and isinstance(b, dict):
+        out = {k: c for k in sorted(a.keys() | b.keys()) if (c := difference(a.get(k), b.get(k))) is not None}
+        return out or None
+    if isinstance(a, list) and isinstance(b, list):
+        return array_difference(a, b)
+    return None if a is None and b is None else {"from": a, "to": b}

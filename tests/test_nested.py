@@ -1,0 +1,60 @@
+"""Nested differences: hand-made cases, and random arrays against their definition."""
+
+import json
+import random
+
+from loomrec.functions.nested import MOST_CELLS, aligned, bag, difference
+from loomrec.operators.diff import nested_changes
+
+
+def one(a, b):
+    return difference({"x": a}, {"x": b})
+
+
+def test_scalars_and_objects():
+    assert difference({"a": 1, "b": None}, {"a": 1}) is None
+    assert difference({"a": 1}, {"a": 2, "c": "n"}) == {"a": {"from": 1, "to": 2}, "c": {"from": None, "to": "n"}}
+    assert difference(1, True) == {"from": 1, "to": True}
+
+
+def test_strategies():
+    assert one([1, 2, 2], [2, 1, 3])["x"]["_array_diff"] == {"strategy": "set", "count_from": 3, "count_to": 3, "removed": [2], "added": [3]}
+    assert one([2, 1], [1, 2]) is None
+    assert one([[1], [2]], [[1], [3]])["x"]["_array_diff"]["strategy"] == "positional"
+    assert one([{"Text": "a"}, {"Text": "b"}], [{"Text": "b"}, {"Text": "a"}])["x"]["_array_diff"]["strategy"] == "unkeyed"
+
+
+def test_keyed_elements_may_move():
+    a = [{"Component": {"formid": "0x1", "name": "old"}, "Count": 1}, {"Component": {"formid": "0x2"}, "Count": 2}]
+    b = [{"Component": {"formid": "0x2"}, "Count": 5}, {"Component": {"formid": "0x1", "name": "old"}, "Count": 1}]
+    found = one(a, b)["x"]["_array_diff"]
+    assert found["strategy"] == "keyed" and found["unchanged_count"] == 1
+    assert found["changed"] == [{"key": [{"formid": "0x2"}], "index_from": 1, "index_to": 0, "changes": {"Count": {"from": 2, "to": 5}}}]
+    assert one(a, a[::-1]) is None
+
+
+def test_keys_widen_until_unique():
+    a = [{"Perk": "0x1", "Rank": 1}, {"Perk": "0x1", "Rank": 2}]
+    found = one(a, [*a, {"Perk": "0x1", "Rank": 3}])["x"]["_array_diff"]
+    assert found["key_fields"] == ["Perk", "Rank"] and found["added"] == [{"Perk": "0x1", "Rank": 3}]
+    assert one([*a, a[0]], a)["x"]["_array_diff"]["strategy"] == "unkeyed"
+
+
+def test_alignment_against_its_definition():
+    rnd = random.Random(6)
+    for _ in range(200):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(9))] for _ in (0, 1))
+        removed, added = aligned(a, b)
+        assert len(a) - len(removed) == len(b) - len(added)
+        gone, new = bag(a, b)
+        assert len(removed) >= len(gone) and len(added) >= len(new)
+        assert aligned(a, a) == ([], [])
+    n = int(MOST_CELLS**0.5) + 5
+    middle = aligned([-1, *range(n)], [-2, *range(n)[::-1]])
+    assert middle == ([-1], [-2])
+
+
+def test_over_rows(spark):
+    rows = [(1, '{"a": [1, 2]}', '{"a": [1, 3]}'), (2, '{"a": 1}', '{"a": 1}'), (3, '{"a":1}', '{ "a": 1 }'), (4, None, '{"a": 1}')]
+    got = {r["form_id"]: json.loads(r["changes"]) for r in nested_changes(spark.createDataFrame(rows, "form_id long, old string, new string"), "form_id").collect()}
+    assert set(got) == {1, 4} and got[1]["a"]["_array_diff"]["added"] == [3]
