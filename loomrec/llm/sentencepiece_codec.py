@@ -79,18 +79,6 @@ class DoubleArrayTrie:
                 queue.append((start + k, node[k]))
         self.base, self.check = base, check
 
-    def prefixes(self, data: bytes, begin: int) -> Iterator[tuple[int, int]]:
-        """(end, value) of every entry that begins at ``begin``, shortest first."""
-        base, check, value = self.base, self.check, self.value
-        at, size = 0, len(check)
-        for end in range(begin, len(data)):
-            child = base[at] + data[end] + 1
-            if child >= size or check[child] != at or not base[at]:
-                return
-            at = child
-            if value[at] >= 0:
-                yield end + 1, value[at]
-
 
 class Codec:
     """The pieces of a model with log scores."""
@@ -117,16 +105,28 @@ class Codec:
         n = len(data)
         best, back, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        scores, prefixes = self.scores, self.trie.prefixes
+        scores = self.scores
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        size = len(check)
         at = 0
         while at < n:
             first = data[at]
             width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
             here, single = best[at], False
-            for end, i in prefixes(data, at):
-                single |= end == at + width
-                if here + scores[i] > best[end]:
-                    best[end], back[end], piece[end] = here + scores[i], at, i
+            # The trie is walked in place: this loop is all of an encoder's time.
+            node, end = 0, at
+            while end < n:
+                child = base[node] + data[end] + 1
+                if child >= size or check[child] != node:
+                    break
+                node, end = child, end + 1
+                i = value[node]
+                if i >= 0:
+                    if end == at + width:
+                        single = True
+                    total = here + scores[i]
+                    if total > best[end]:
+                        best[end], back[end], piece[end] = total, at, i
             if not single and here + self.fallback > best[at + width]:
                 best[at + width], back[at + width], piece[at + width] = here + self.fallback, at, -1
             at += width
@@ -188,20 +188,20 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(key: str, model) -> Codec:
-    """The worker's codec of a broadcast model, built once in each worker."""
+    """The worker's copy of a broadcast codec, which remembers paths from task to task."""
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(*model.value)
+        _codecs[key] = model.value
     return _codecs[key]
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids, n_tokens, n_byte_tokens, decoded_sha256, round_trip for every row of ``docs``.
 
-    The driver reads the model and sends its pieces, a fixed 32,000; executors need no such file.
+    The driver reads the model and sends the trie of its pieces, a fixed 32,000; executors need no such file.
     """
     spark = docs.sparkSession
-    sent, key = spark.sparkContext.broadcast(read_model(model)), uuid.uuid4().hex
+    sent, key = spark.sparkContext.broadcast(Codec(*read_model(model))), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, sent)
