@@ -10,14 +10,15 @@ similarity closely. The steps:
    row on to those not reached yet, so a bucket of n rows gives at most n - 1 candidate links.
 3. Connected candidates form clusters. Within a cluster the full sets are compared, again from one
    row on to those not reached yet, through a table of shingles; links are kept at
-   100 * intersection >= 85 * union. A candidate link alone is never believed.
+   100 * intersection >= similarity * union. A candidate link alone is never believed.
 4. Documents connected by confirmed links are one component.
 
 Buckets and clusters of more than ``BLOCK`` rows (or ``HEAVY`` shingles) are dealt in blocks: each pair of blocks is one
 task's group, so no group is unbounded and no pair is left out.
 
-At similarity 0.85 a pair misses all bands with probability (1 - 0.85^4)^24 = 2e-8; the sketch lets
-pass what it estimates at 0.62 or more, six deviations below 0.85.
+``similarity`` is in hundredths; the pipeline's stage asks for 80. A pair at 0.80 misses all bands with
+probability (1 - 0.80^4)^24 = 3e-6, one at 0.85 with 2e-8; the sketch lets pass what it estimates at
+six deviations below the similarity or more (0.54 for 0.80, 0.62 for 0.85).
 
 Defined cases: null and blank texts have empty sets and stand alone; under five words the whole
 sequence is the one shingle; null doc_ids are numbered after all others and have a null
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,7 @@ from loomrec.session import write_through
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SHINGLE, SAMPLES, BANDS, ROWS, SKETCH_BITS = 5, 128, 24, 4, 256
-SIMILAR, LET_PASS, BLOCK, HEAVY = 85, 0.62, 3000, 4_000_000
+SIMILAR, BLOCK, HEAVY = 85, 3000, 4_000_000
 #: Words of which a worker remembers the hash.
 REMEMBERED = 500_000
 
@@ -121,6 +123,13 @@ def estimate(flipped: np.ndarray) -> np.ndarray:
     return 1.0 + SKETCH_BITS / (4.0 * SAMPLES) * np.log(1.0 - share)
 
 
+def let_pass(similarity: int) -> float:
+    """The least estimate of a candidate: six deviations or more below a similarity of 80 to 100 hundredths."""
+    if not 80 <= similarity <= 100:
+        raise ValueError(f"a similarity of {similarity}: the bands are made for 80 to 100")
+    return 0.62 - 1.6 * (85 - similarity) / 100
+
+
 SIGNED = "rid bigint, n_shingles bigint, sequence string, sketch binary, bands array<bigint>"
 
 
@@ -189,17 +198,17 @@ def _spanning(n: int, near) -> list[tuple[int, int]]:
     return links
 
 
-def _candidates(rids: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+def _candidates(rids: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs of one bucket that the sketches let pass."""
     sketches = np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(rids), -1)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
-        return estimate(np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)) >= LET_PASS
+        return estimate(np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)) >= least
 
     return [(int(rids[i]), int(rids[j])) for i, j in _spanning(len(rids), near)]
 
 
-def _confirmed(rids: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+def _confirmed(rids: np.ndarray, values: np.ndarray, similarity: int) -> list[tuple[int, int]]:
     """Pairs of one cluster whose full sets are similar."""
     sets = [shingles(word_hashes(t)) for t in values]
     sizes = np.array([len(s) for s in sets])
@@ -214,12 +223,12 @@ def _confirmed(rids: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
         n = end - begin
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(holders[at], minlength=len(sets))[rest]
-        return 100 * common >= SIMILAR * (sizes[rest] + sizes[i] - common)
+        return 100 * common >= similarity * (sizes[rest] + sizes[i] - common)
 
     return [(int(rids[i]), int(rids[j])) for i, j in _spanning(len(rids), near)]
 
 
-def components_of(docs: DataFrame) -> DataFrame:
+def components_of(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, kept for every row of ``docs`` (rid, doc_id, text), a table that can be read again as it is."""
     signed = write_through(docs.select("rid", "text").mapInPandas(_sign, SIGNED), "near-signed")
     ids = docs.select("rid", "doc_id").join(signed.select("rid", "n_shingles", "sequence"), "rid")
@@ -232,12 +241,12 @@ def components_of(docs: DataFrame) -> DataFrame:
     # Both sides of these joins grow with the input: merge joins at every size, never a broadcast.
     keys = signed.join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
     bucketed = _blocked(keys, "band", "rid").join(signed.select("rid", "sketch").hint("merge"), "rid")
-    near = _by_group(bucketed, ["band", "low", "high"], "sketch", _candidates).distinct()
+    near = _by_group(bucketed, ["band", "low", "high"], "sketch", partial(_candidates, least=let_pass(similarity))).distinct()
     clusters = connected(write_through(near, "near-candidates"))
 
     weighed = clusters.withColumnRenamed("node", "rid").join(signed.select("rid", "n_shingles"), "rid")
     members = _blocked(write_through(weighed, "near-clusters"), "component", "rid", "n_shingles").join(docs.select("rid", "text").hint("merge"), "rid")
-    links = _by_group(members, ["component", "low", "high"], "text", _confirmed)
+    links = _by_group(members, ["component", "low", "high"], "text", partial(_confirmed, similarity=similarity))
     # Copies are linked to their leader, leaders to each other.
     found = connected(write_through(links, "near-links")).withColumnRenamed("component", "root")
     led = ids.join(leaders, "sequence", "left").withColumn("leader", F.when(F.col("n_shingles") > 0, F.col("leader")).otherwise(F.col("rid")))
@@ -246,13 +255,13 @@ def components_of(docs: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("rid", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
-def near_report(docs: DataFrame) -> DataFrame:
+def near_report(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "near-docs")
-    return components_of(numbered).drop("rid")
+    return components_of(numbered, similarity).drop("rid")
 
 
-def drop_near(docs: DataFrame) -> DataFrame:
+def drop_near(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with its columns."""
     numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "near-docs")
-    kept = components_of(numbered.select("rid", "row.doc_id", "row.text")).where("kept").select("rid")
+    kept = components_of(numbered.select("rid", "row.doc_id", "row.text"), similarity).where("kept").select("rid")
     return numbered.join(kept.hint("merge"), "rid", "left_semi").select("row.*")

@@ -49,7 +49,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_report(documents(spark, sf_dir))
+    return near_dedup.near_report(documents(spark, sf_dir), similarity=85)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
