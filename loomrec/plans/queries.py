@@ -59,12 +59,12 @@ SELECTORS = f"s AS (SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 2 = 0 THE
 
 @query(f"{R}, {SELECTORS} SELECT * FROM f")
 def selector_resolve(spark, d):
-    return lookup.resolve(_selectors(spark, d), records(spark, d, ("CUST", "ORDR")))
+    return lookup.resolve(_selectors(spark, d), records(spark, d))
 
 
 @query(f"{R}, {SELECTORS} SELECT f.ordinal, f.selector, f.form_id, f.matched_by, r.sig, r.editor_id, r.name, r.value, CASE WHEN f.form_id IS NULL THEN 'no record for ' || f.selector END AS error FROM f LEFT JOIN records r ON r.form_id = f.form_id")
 def bulk_get(spark, d):
-    return lookup.bulk_get(_selectors(spark, d), records(spark, d, ("CUST", "ORDR")))
+    return lookup.bulk_get(_selectors(spark, d), records(spark, d))
 
 
 @query("SELECT o_orderkey, printf('0x%08X', o_orderkey) AS id_text, o_orderkey AS back, regexp_matches(printf('%x', o_orderkey), '^[0-9a-f]{1,8}$') AS looks FROM orders")
