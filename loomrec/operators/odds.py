@@ -54,12 +54,23 @@ def pool(entries: DataFrame, list_id: str, ordinal: str = "ordinal") -> DataFram
 def drop_tables(entries: DataFrame, depth: int = 8) -> DataFrame:
     """list_id, item, presence, expected for every list.
 
-    ``entries``: list_id, ordinal, mode (all or first), target, is_list, p, quantity, list_factor.
+    ``entries``: list_id, ordinal, mode (all, first or pool), target, is_list, p, quantity, list_factor.
     Level by level, a list's table is made of its items and the tables of its lists one level
     down, to ``depth`` levels; so shared lists are worked out once and cycles end. Contributions
-    are merged as independent for mode all and as disjoint for mode first.
+    are merged as independent for mode all and as disjoint for modes first and pool. Any other mode
+    is an error.
     """
-    chosen = first_match(entries.where("mode = 'first'"), "list_id").unionByName(entries.where("mode != 'first'").withColumn("chosen", F.col("p")))
+    known = F.when(F.col("mode").isin("all", "first", "pool"), F.col("mode")).otherwise(F.raise_error(F.concat(F.lit("unknown mode "), F.coalesce("mode", F.lit("null")))))
+    entries = entries.withColumn("mode", known)
+    # Ordinals may repeat; rows that agree in all of these are alike.
+    place = F.row_number().over(Window.partitionBy("list_id").orderBy("ordinal", "target", "is_list", "p", "quantity"))
+    pooled = entries.where("mode = 'pool'").withColumn("place", place)
+    odds_of = pool(pooled, "list_id", "place").select("list_id", "place", "chosen")
+    chosen = (
+        first_match(entries.where("mode = 'first'"), "list_id")
+        .unionByName(pooled.join(odds_of, ["list_id", "place"]).select(*entries.columns, "chosen"))
+        .unionByName(entries.where("mode = 'all'").withColumn("chosen", F.col("p")))
+    )
     chosen = write_through(chosen.withColumn("quantity", F.when(F.col("quantity") == 0, 1.0).otherwise(F.col("quantity"))), "drop-entries")
     items = chosen.where("not is_list").select("list_id", "mode", "list_factor", F.col("target").alias("item"), F.col("chosen").alias("p"), (F.col("chosen") * F.col("quantity")).alias("e"))
     lists = chosen.where("is_list")
@@ -74,7 +85,7 @@ def drop_tables(entries: DataFrame, depth: int = 8) -> DataFrame:
         merged = rows.groupBy("list_id", "item").agg(
             F.first("mode").alias("mode"), F.first("list_factor").alias("factor"), use_all(F.col("p")).alias("independent"), F.least(F.sum("p"), F.lit(1.0)).alias("disjoint"), F.sum("e").alias("e")
         )
-        presence = F.when(F.col("mode") == "first", F.col("disjoint")).otherwise(F.col("independent"))
+        presence = F.when(F.col("mode") != "all", F.col("disjoint")).otherwise(F.col("independent"))
         table = write_through(merged.select("list_id", "item", (presence * F.col("factor")).alias("presence"), (F.col("e") * F.col("factor")).alias("expected")), "drop-level")
     return table
 
