@@ -8,8 +8,11 @@ together are discounted. It is fitted by expectation maximisation; the given lab
 voter, whose accuracy is estimated like the others'. A logistic classifier on the voters' features
 is then trained on the posterior labels and scores every whole text.
 
-Training takes at most ``sample_rows`` labelled rows, those of least hash of doc_id, and at most
-``lexicon_size`` stems (of sixty times as many candidates); that much reaches the driver.
+Stems are counted over all labelled rows. The lexicon is the ``lexicon_size`` of most evidence (of
+sixty times as many candidates). Only the label model and the classifier are fitted on a sample: at
+most ``sample_rows`` labelled documents, half of them for each class (what one class leaves the other
+has), those of least hash of doc_id; its posterior odds and the classifier's rows are then weighted to
+the classes' sizes. That much reaches the driver.
 
 Defined cases: null and empty texts have the score of a text without any vote; without labelled
 rows of both classes every score is the share of toxic labels (0 if none); null labels are not
@@ -130,29 +133,30 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> np.nd
     return posterior
 
 
-def fit_linear(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, soft: np.ndarray, ridge: float = 1.0, rounds: int = 25, row_weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps."""
     z = np.hstack([x, np.ones((len(x), 1))])
+    weigh = np.ones(len(x)) if row_weights is None else row_weights
     w = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -50, 50)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (soft - p) - penalty * w)
+        step = np.linalg.solve((z * (weigh * (p * (1 - p) + 1e-6))[:, None]).T @ z + np.diag(penalty), z.T @ (weigh * (soft - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample_rows: int = 8_000, lexicon_size: int = 64, least_docs: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sample_rows: int = 8_000, lexicon_size: int = 256, least_docs: int = 5) -> Model:
     allowed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = allowed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # Bounded by sample_rows ids, so it may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").persist()
+    # Labels grow with the corpus: the joins are merge joins at every size, never a broadcast.
+    labelled = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).join(allowed.hint("merge"), "doc_id")
+    present = labelled.groupBy("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n_toxic, n_clean = sum(n for k, n in totals.items() if k == 1), sum(n for k, n in totals.items() if k != 1)
+        totals = {r["toxic"]: (r["n"], r["ids"]) for r in present.groupBy("toxic").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()}
+        (n_toxic, toxic_ids), (n_clean, clean_ids) = totals.get(1, (0, 0)), totals.get(0, (0, 0))
         if not n_toxic or not n_clean:
             return Model([], np.empty(0), np.empty(0), float(n_toxic > 0))
 
@@ -161,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
                 yield pd.DataFrame({"toxic": batch["toxic"], "stems": [list(stems_of(tokens(t))) for t in batch["text"]]})
 
         counts = (
-            sample.mapInPandas(distinct, "toxic int, stems array<string>")
+            labelled.select("toxic", "text").mapInPandas(distinct, "toxic int, stems array<string>")
             .select("toxic", F.explode("stems").alias("stem"))
             .groupBy("stem")
             .agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.lit(1)).alias("n"))
@@ -177,6 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
             if len(stems) < lexicon_size and not any(row["stem"].startswith(s) or s.startswith(row["stem"]) for s in stems):
                 stems.append(row["stem"])
         lexicon = Lexicon(stems)
+        half = sample_rows // 2
+        shares = {1: min(toxic_ids, max(half, sample_rows - clean_ids)), 0: min(clean_ids, max(sample_rows - half, sample_rows - toxic_ids))}
+        in_order = [F.xxhash64("doc_id"), F.col("doc_id")]
+        chosen = present.where("toxic = 1").orderBy(*in_order).limit(shares[1]).unionByName(present.where("toxic = 0").orderBy(*in_order).limit(shares[0]))
+        # Bounded by sample_rows ids, so it may be broadcast.
+        sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
         def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -184,13 +194,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, sam
 
         rows = sample.mapInPandas(featured, "toxic int, x array<double>").collect()
     finally:
-        sample.unpersist()
+        present.unpersist()
     rows.sort(key=lambda r: (r["x"], r["toxic"]))
     x = np.array([r["x"] for r in rows])
     given = np.array([float(r["toxic"] == 1) for r in rows])
+    # Weighted to the classes' sizes; the class of which most was taken weighs 1 a row.
+    per_row = np.array([n_clean / max(1, (given == 0).sum()), n_toxic / max(1, (given == 1).sum())])
+    row_weights = (per_row / per_row.min())[given.astype(int)]
     soft = label_model(votes_of(x, len(stems)), given)
+    soft = soft * per_row[1] / (soft * per_row[1] + (1 - soft) * per_row[0])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    weights, bias = fit_linear(x / scale, soft)
+    weights, bias = fit_linear(x / scale, soft, row_weights=row_weights)
     return Model(stems, scale, weights, bias)
 
 
