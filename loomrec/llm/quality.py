@@ -5,13 +5,19 @@ whole tables: the raw corpus, and the trusted target (documents labelled good).
 is the mean over its words and pairs of log(target share / raw share), so length does not matter;
 documents below a fixed threshold go.
 
-The bucket weights are one array of ``buckets`` numbers, whatever the size of the corpus. Five-word
-windows of a document are compared by 64-bit hashes.
+The bucket weights are one array of ``buckets`` numbers, whatever the size of the corpus. Both
+multinomials are smoothed by a fixed share of their totals, so a corpus and its labels repeated
+k times give the same weights and verdicts. Five-word windows of a document are compared by 64-bit
+hashes.
+
+All that is worked out of a text is one expression that binds the words and their hashes once, so a
+filter on any result column may be pushed below it and still splits a text a fixed number of times.
 
 Defined cases: a null text has no words and fails the base rules; texts under five words have no
-windows; null doc_ids are never labelled; of several labels of a document the best counts; without
-any labelled document all weights are 0 and only the base rules decide; repeated rows are judged
-alike; an empty table gives an empty result. Other columns are ignored.
+windows; very long texts are judged whole, in time in proportion to their words (and a sort of the
+windows, where some repeat); null doc_ids are never labelled; of several labels of a document the
+best counts; without any labelled document all weights are 0 and only the base rules decide;
+repeated rows are judged alike; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,94 +25,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import WHITE, words_of
-from loomrec.session import write_through
+from loomrec.llm.common import WHITE, let, words_of
 
 #: The symbols that are counted.
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 BUCKETS = 1 << 15
-PRIOR = 5.0
+#: Of either multinomial's total, what is spread evenly over the buckets.
+SMOOTHING = 0.3
 THRESHOLD = -0.11
 
 
-def _buckets(hashes: Column, n: Column, buckets: int) -> Column:
-    """Bucket numbers from 1 of the words and the word pairs of a text."""
-    words = F.transform(hashes, lambda h: (F.pmod(h, F.lit(buckets)) + 1).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: (F.pmod(F.xxhash64(hashes[i], hashes[i + 1]), F.lit(buckets)) + 1).cast("int"))
-    return F.when(n >= 2, F.concat(words, pairs)).otherwise(words)
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Adds words, n and hashes."""
-    return (
-        rows.withColumn("words", words_of(F.col("text")))
-        .withColumn("n", F.size("words"))
-        .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    )
+def _buckets(hashes: Column, buckets: int) -> Column:
+    """Bucket numbers from 1 of the words and the word pairs of a text, from its bound word hashes."""
+    n = F.size(hashes)
 
+    def numbered(h: Column) -> Column:
+        return (F.pmod(h, F.lit(buckets)) + 1).cast("int")
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, weights: log(target share / raw share) of each bucket.
+    pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: numbered(F.xxhash64(hashes[i], hashes[i + 1])))
+    return F.when(n >= 2, F.concat(F.transform(hashes, numbered), pairs)).otherwise(F.transform(hashes, numbered))
 
-    The shares are of counts: those in the target against those expected there from the raw corpus,
-    both raised by ``PRIOR``, so a bucket of which little is known weighs little.
-    """
+
+def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, weights: log(target share / raw share) of each bucket, the shares smoothed by ``SMOOTHING``."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("good", F.lit(1))
     # Labels grow with the corpus: the join is a merge join at every size, never a broadcast.
-    grams = (
-        _hashed(docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left"))
-        .where("n > 0")
-        .select("good", F.explode(_buckets(F.col("hashes"), F.col("n"), buckets)).alias("bucket"))
-    )
+    grams = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("good", F.explode(let(_hashes(words_of(F.col("text"))), lambda h: _buckets(h, buckets))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     every = docs.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     listed = filled.groupBy().agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("all"), F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    expected = F.col("targets") / F.greatest("raws", F.lit(1))
-    return listed.select(F.transform("all", lambda b: F.log((b["target"] + PRIOR) / (b["raw"] * expected + PRIOR))).alias("weights"))
-
-
-def base_columns(hashed: DataFrame) -> DataFrame:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words from text, words, n and hashes."""
-    window = F.transform(F.sequence(F.lit(0), F.col("n") - 5), lambda i: F.xxhash64(*[F.col("hashes")[i + k] for k in range(5)]))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "")
-    rows = (
-        hashed.withColumn("windows", F.when(F.col("n") >= 5, window))
-        .withColumn("lines", lines)
-        .withColumn("repeats", F.size(F.array_distinct("windows")) < F.size("windows"))
-        .withColumn("sorted", F.when(F.col("repeats"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-        .withColumn("found", F.expr("sort_array(transform(filter(sorted, (x, k) -> (k > 0 and sorted[k - 1].h = x.h) or (k < size(sorted) - 1 and sorted[k + 1].h = x.h)), x -> x.i))"))
-    )
-    # Each window adds its five words less those that the window before it has covered.
-    covered = "aggregate(found, named_struct('last', -5L, 'n', 0L), (a, p) -> named_struct('last', cast(p as bigint), 'n', a.n + least(5L, p - a.last)), a -> a.n)"
-    return rows.select(
-        "*",
-        F.col("n").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(F.coalesce("text", F.lit("")), NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    even = SMOOTHING / buckets
+    known = F.transform("all", lambda b: F.log((b["target"] / F.col("targets") + even) / (b["raw"] / F.col("raws") + even)))
+    return listed.select(F.when(F.col("targets") > 0, known).otherwise(F.transform("all", lambda b: F.lit(0.0))).alias("weights"))
+
+
+def _repeated(hashes: Column) -> Column:
+    """Words in windows of five that occur twice or more, from a text's bound word hashes."""
+    n = F.size(hashes)
+    windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[hashes[i + k] for k in range(5)]))
+
+    def among(found: Column) -> Column:
+        # In the order of hashes, equal windows are neighbours.
+        marked = F.filter(found, lambda x, k: ((k > 0) & (F.get(found, k - 1)["h"] == x["h"])) | F.coalesce(F.get(found, k + 1)["h"] == x["h"], F.lit(False)))
+        at = F.sort_array(F.transform(marked, lambda x: x["i"]))
+        # Each window adds its five words less those that the window before it has covered.
+        state = F.struct(F.lit(-5).alias("last"), F.lit(0).alias("n"))
+        return F.aggregate(at, state, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(5), p - a["last"])).alias("n")), lambda a: a["n"])
+
+    def counted(w: Column) -> Column:
+        in_order = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(w)) < F.size(w), let(in_order, among)).otherwise(F.lit(0))
+
+    return F.when(n >= 5, let(windows, counted)).otherwise(F.lit(0))
+
+
+def measured(text: Column, weights: Column, buckets: int) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score of a text."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "")
+    symbols = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_SYMBOLS, ""))
+
+    def of_words(words: Column) -> Column:
+        def of_hashes(hashes: Column) -> Column:
+            n = F.size(hashes)
+            total = F.aggregate(_buckets(hashes, buckets), F.lit(0.0), lambda a, b: a + F.element_at(weights, b))
+            return F.struct(
+                n.cast("long").alias("n_words"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                symbols.cast("long").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                _repeated(hashes).cast("long").alias("n_repeat_words"),
+                F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0)).alias("score"),
+            )
+
+        return let(_hashes(words), of_hashes)
+
+    return let(words_of(text), of_words)
 
 
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row, the base columns, base_failed, score and kept."""
-    weights = bucket_weights(docs, labels, buckets)
-    rows = docs.select(F.struct(*keep).alias("row"), "text")
-    score = F.aggregate(_buckets(F.col("hashes"), F.col("n"), buckets), F.lit(0.0), lambda a, b: a + F.element_at(F.col("weights"), b))
-    scored = (
-        base_columns(_hashed(rows))
-        .withColumn("weights", weights.scalar())
-        .withColumn("score", F.when(F.col("n") > 0, score / (2 * F.col("n") - 1)).otherwise(F.lit(0.0)))
-        .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    )
-    return scored.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    rows = docs.select(F.struct(*keep).alias("row"), "text").withColumn("weights", bucket_weights(docs, labels, buckets).scalar())
+    found = rows.select("row", measured(F.col("text"), F.col("weights"), buckets).alias("m"))
+    failed = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
+    kept = ~failed & (F.col("m.score") >= threshold)
+    return found.select("row.*", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), kept.alias("kept"), "m.score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", "text")
-    # Written first: a filter pushed below the judgement would repeat all of its expressions.
-    judged = write_through(judge(packed, labels, keep=("doc",), **params).select("doc", "kept"), "quality")
-    return judged.where("kept").select("doc.*")
+    return judge(packed, labels, keep=("doc",), **params).where("kept").select("doc.*")
