@@ -44,13 +44,18 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def is_table(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files as ``spark.read.parquet`` gives it."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns
+
+
 def stored(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` as rows loc (file, number in the file) and row (all its columns), which can be read again with the same locators.
 
     A table as ``spark.read.parquet`` gives it is read where it is: its files tell where a row
     stands, however they are split among tasks. Any other DataFrame is written first.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+    if is_table(docs):
         return docs.select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("loc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     loc = F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("at"))
     return write_through(docs.select(loc.alias("loc"), F.struct("*").alias("row")), name)

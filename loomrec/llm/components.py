@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.session import write_through
+from loomrec.llm.common import spread_join
+from loomrec.session import drop_path, write_through
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,23 +15,30 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round hangs every node's larger neighbours on its least neighbour (large star), then its
     smaller ones (small star), until nothing changes: a number of rounds that grows with the
     logarithm of the nodes. A node with very many neighbours is a group of rows that aggregates to
-    one least id before the shuffle; neighbours themselves are never gathered. Rounds are written
-    to the shared folder. Self links and repeated links do no harm; an empty table has no nodes.
+    one least id before the shuffle; its rows meet that id by a broadcast of such hubs, a thousand
+    at the most, and neighbours are never gathered. Rounds are written to the shared folder, each
+    deleted when the next one is there. Self links and repeated links do no harm; an empty table
+    has no nodes.
     """
+    spark = links.sparkSession
     edges = write_through(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    seen = None
+    seen, n = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = write_through(small, "star")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, "u", "n", F.lit(2 * n)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        hung = write_through(large, "star-large")
+        below = hung.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = spread_join(hung, below, "u", "n", F.lit(hung.count()))
+        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        edges = write_through(small, "star", drop=(hung, edges))
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
             break
-        seen = tuple(state)
+        seen, n = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out = write_through(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component"))), "components")
+    drop_path(spark, edges._scratch_path)
+    return out

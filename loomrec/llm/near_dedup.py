@@ -5,7 +5,7 @@ the first BANDS * ROWS make band keys, and all are folded into an odd sketch: a
 sample flips one bit. The population count of the exclusive-or of two sketches estimates a high
 similarity closely. The steps:
 
-1. Exact copies of the word sequence are one row from here on, the one of least doc_id.
+1. Exact copies of the word sequence, by its SHA-256 as a content address, are one row from here on, the one of least doc_id.
 2. Rows that share a band key are candidates. Within a bucket the sketches are compared, from one
    row on to those not reached yet, so a bucket of n rows gives at most n - 1 candidate links.
 3. Connected candidates form clusters. Within a cluster the full sets are compared, again from one
@@ -21,13 +21,14 @@ probability (1 - 0.80^4)^24 = 3e-6, one at 0.85 with 2e-8; the sketch lets pass
 six deviations below the similarity or more (0.54 for 0.80, 0.62 for 0.85).
 
 Defined cases: null and blank texts have empty sets and stand alone; under five words the whole
-sequence is the one shingle; null doc_ids are numbered after all others and have a null
+sequence is the one shingle; very long texts are compared whole; null doc_ids are numbered after all others and have a null
 component_id when alone; repeated rows (equal ids) are copies like any other, of which one is kept;
 an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -37,6 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomrec.llm.common import is_table, spread_join, stored
 from loomrec.llm.components import connected
 from loomrec.session import write_through
 
@@ -130,20 +132,19 @@ def let_pass(similarity: int) -> float:
     return 0.62 - 1.6 * (85 - similarity) / 100
 
 
-SIGNED = "rid bigint, n_shingles bigint, sequence string, sketch binary, bands array<bigint>"
+SIGNED = "loc struct<file:string,at:bigint>, doc_id bigint, n_shingles bigint, sequence string, sketch binary, bands array<bigint>"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
-
     for batch in batches:
         rows = []
         for text in batch["text"]:
-            words = word_hashes(text if isinstance(text, str) else None)
-            items = shingles(words)
+            text = text if isinstance(text, str) else ""
+            items = shingles(word_hashes(text))
             least = min_hashes(items) if len(items) else None
-            rows.append((len(items), xxhash.xxh3_128_hexdigest(words.tobytes()), odd_sketch(least) if len(items) else None, band_keys(least) if len(items) else None))
-        yield pd.DataFrame({"rid": batch["rid"], "n_shingles": [r[0] for r in rows], "sequence": [r[1] for r in rows], "sketch": [r[2] for r in rows], "bands": [r[3] for r in rows]})
+            address = hashlib.sha256("\n".join(WORD.findall(text.translate(LOWER))).encode("utf-8", "surrogatepass")).hexdigest() if len(items) else None
+            rows.append((len(items), address, odd_sketch(least) if len(items) else None, band_keys(least) if len(items) else None))
+        yield pd.DataFrame({"loc": batch["loc"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [r[0] for r in rows], "sequence": [r[1] for r in rows], "sketch": [r[2] for r in rows], "bands": [r[3] for r in rows]})
 
 
 def _blocked(rows: DataFrame, group: str, name: str, weight: str | None = None) -> DataFrame:
@@ -152,7 +153,8 @@ def _blocked(rows: DataFrame, group: str, name: str, weight: str | None = None)
     sizes = rows.groupBy(group).agg(need.cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     mine = F.pmod(F.xxhash64(name), "blocks").cast("int")
-    return rows.join(sizes, group).select(*rows.columns, mine.alias("mine"), other).select(*rows.columns, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    joined = spread_join(rows, sizes, group, "n", rows.agg(F.count(F.lit(1))).scalar())
+    return joined.select(*rows.columns, mine.alias("mine"), other).select(*rows.columns, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
 
 def _by_group(rows: DataFrame, keys: list[str], value: str, links) -> DataFrame:
@@ -228,40 +230,45 @@ def _confirmed(rids: np.ndarray, values: np.ndarray, similarity: int) -> list[tu
     return [(int(rids[i]), int(rids[j])) for i, j in _spanning(len(rids), near)]
 
 
-def components_of(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, kept for every row of ``docs`` (rid, doc_id, text), a table that can be read again as it is."""
-    signed = write_through(docs.select("rid", "text").mapInPandas(_sign, SIGNED), "near-signed")
-    ids = docs.select("rid", "doc_id").join(signed.select("rid", "n_shingles", "sequence"), "rid")
-    # Numbers in the order of the least doc_id: a component's least number is its least doc_id's row.
+def _components(table: DataFrame, similarity: int) -> DataFrame:
+    """loc, doc_id, n_shingles, component_id, kept for every row of ``table`` (loc, row, as stored() gives it), as a scratch table."""
+    read = table.select("loc", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    signed = write_through(read.mapInPandas(_sign, SIGNED).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
+    # Of copies the first stands for all; an empty set is linked with nothing.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    copies = ids.where("n_shingles > 0").groupBy("sequence").agg(F.min(rank).alias("first"), F.min("n_shingles").alias("n"))
-    leaders = copies.select("sequence", F.col("first.rid").alias("leader"))
-    reps = leaders.select(F.col("leader").alias("rid"))
+    some = signed.where("sequence is not null")
+    leaders = write_through(some.groupBy("sequence").agg(F.min(rank).alias("first")).withColumn("rid", F.col("first.rid")), "near-leaders")
 
     # Both sides of these joins grow with the input: merge joins at every size, never a broadcast.
-    keys = signed.join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
-    bucketed = _blocked(keys, "band", "rid").join(signed.select("rid", "sketch").hint("merge"), "rid")
+    reps = write_through(signed.join(leaders.select("rid").hint("merge"), "rid", "left_semi").select("rid", "loc", "n_shingles", "sketch", "bands"), "near-reps")
+    keys = reps.select("rid", F.explode("bands").alias("band"))
+    bucketed = _blocked(keys, "band", "rid").join(reps.select("rid", "sketch").hint("merge"), "rid")
     near = _by_group(bucketed, ["band", "low", "high"], "sketch", partial(_candidates, least=let_pass(similarity))).distinct()
-    clusters = connected(write_through(near, "near-candidates"))
-
-    weighed = clusters.withColumnRenamed("node", "rid").join(signed.select("rid", "n_shingles"), "rid")
-    members = _blocked(write_through(weighed, "near-clusters"), "component", "rid", "n_shingles").join(docs.select("rid", "text").hint("merge"), "rid")
-    links = _by_group(members, ["component", "low", "high"], "text", partial(_confirmed, similarity=similarity))
-    # Copies are linked to their leader, leaders to each other.
-    found = connected(write_through(links, "near-links")).withColumnRenamed("component", "root")
-    led = ids.join(leaders, "sequence", "left").withColumn("leader", F.when(F.col("n_shingles") > 0, F.col("leader")).otherwise(F.col("rid")))
-    rooted = led.join(found.withColumnRenamed("node", "leader"), "leader", "left").withColumn("root", F.coalesce("root", "leader"))
-    least = rooted.groupBy("root").agg(F.min(rank).alias("first"))
-    return rooted.join(least, "root").select("rid", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept"))
+    candidates = write_through(near, "near-candidates")
+    clusters = connected(candidates)
+
+    weighed = write_through(clusters.withColumnRenamed("node", "rid").join(reps.select("rid", "loc", "n_shingles").hint("merge"), "rid"), "near-clusters", drop=(candidates, clusters, reps))
+    members = _blocked(weighed, "component", "rid", "n_shingles").join(read.select("loc", "text").hint("merge"), "loc").drop("loc")
+    links = write_through(_by_group(members, ["component", "low", "high"], "text", partial(_confirmed, similarity=similarity)), "near-links", drop=(weighed,))
+    found = connected(links)
+    # Leaders are linked to each other; the least row of a component is the least of its leaders' firsts.
+    rooted = leaders.join(found.select(F.col("node").alias("rid"), F.col("component").alias("root")).hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    rooted = write_through(rooted.select("sequence", "root", "first"), "near-rooted", drop=(links, found, leaders))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = write_through(spread_join(rooted.select("root", "sequence"), least, "root", "n", rooted.agg(F.count(F.lit(1))).scalar()).select("sequence", "least"), "near-named", drop=(rooted,))
+    shared = some.join(named.hint("merge"), "sequence").select("loc", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
+    alone = signed.where("sequence is null").select("loc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return write_through(shared.unionByName(alone), "near-result", drop=(named, signed))
 
 
 def near_report(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
-    numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "near-docs")
-    return components_of(numbered, similarity).drop("rid")
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
+    table = stored(docs if is_table(docs) else docs.select("doc_id", "text"), "near-docs")
+    return _components(table, similarity).drop("loc")
 
 
 def drop_near(docs: DataFrame, similarity: int = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with its columns."""
-    numbered = write_through(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "near-docs")
-    kept = components_of(numbered.select("rid", "row.doc_id", "row.text"), similarity).where("kept").select("rid")
-    return numbered.join(kept.hint("merge"), "rid", "left_semi").select("row.*")
+    table = stored(docs, "near-docs")
+    kept = _components(table, similarity).where("kept").select("loc")
+    return table.join(kept.hint("merge"), "loc", "left_semi").select("row.*")

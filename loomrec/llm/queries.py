@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decide(documents(spark, sf_dir)).drop("rid")
+    return exact_dedup.decide(documents(spark, sf_dir))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
