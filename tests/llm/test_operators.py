@@ -246,6 +246,38 @@ def test_mixing(docs, none):
     assert any(r["text"] in whole for r in mixed.select("text").collect())
 
 
+def test_shards_are_multinomial(spark):
+    quotas = spark.createDataFrame([(1, 70_000), (2, 20_000), (3, 9_900), (4, 100)], "src long, quota long")
+    shares = {1: 0.7, 2: 0.2, 3: 0.099, 4: 0.001}
+    drawn = {}
+    for r in mixing.shard_counts(quotas, 500).collect():
+        drawn.setdefault(r["shard"], Counter())[r["src"]] = r["drawn"]
+    assert len(drawn) == 200 and all(sum(c.values()) == 500 for c in drawn.values())
+    for src, p in shares.items():
+        counts = [c[src] for c in drawn.values()]
+        mean = sum(counts) / 200
+        variance = sum((x - mean) ** 2 for x in counts) / 199
+        assert abs(mean - 500 * p) < 5 * math.sqrt(500 * p * (1 - p) / 200)
+        # The sample variance of 200 near-normal counts is within a half of the multinomial's.
+        assert 0.5 < variance / (500 * p * (1 - p)) < 1.7
+    slots = mixing.shard_slots(quotas, 500).collect()
+    assert sorted((r["src"], r["slot"]) for r in slots) == [(s, k) for s, q in ((1, 70_000), (2, 20_000), (3, 9_900), (4, 100)) for k in range(q)]
+    assert set(Counter(r["shard"] for r in slots).values()) == {500}
+    # What the truing-up moves is a small part: about the root of the slots.
+    at = Counter((r["shard"], r["src"]) for r in slots)
+    moved = sum(max(0, c[s] - at[k, s]) for k, c in drawn.items() for s in shares)
+    assert moved <= 4 * math.sqrt(100_000)
+
+
+def test_targets_of_real_sources(spark):
+    rows = mixing.mix_report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by = {}
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"]
+        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert all(abs(sum(t) - target) <= 0.02 * target for (_, target), t in by.items())
+
+
 # 5 and 6
 
 
@@ -478,6 +510,27 @@ def test_pipeline(spark, sf_dir):
     assert len(out) == counts[-1] and all(r["round_trip"] for r in out)
 
 
+def test_stages_on_hard_rows(spark, docs, none, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (docs, none):
+        path = f"{tmp_path}/{'docs' if frame is docs else 'none'}.parquet"
+        frame.write.parquet(path)
+        at = spark.read.parquet(path)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = corpus_pipeline.write_through(stage(spark, at, str(tmp_path)), "hard")
+            assert out.dtypes == at.dtypes
+            assert out.count() <= 3 * at.count()
+            assert out.exceptAll(at).drop("text").count() <= out.count()
+            # Kept rows are rows of the input; the mix alone makes texts that are parts of theirs.
+            assert out.drop("text").exceptAll(at.drop("text").unionAll(at.drop("text")).unionAll(at.drop("text"))).count() == 0
+            at = out
+        assert corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)).count() == at.count()
+        if frame is none:
+            assert at.count() == 0
+
+
 def test_words(spark):
     rows = spark.createDataFrame([(x,) for x in [None, "", " a ", "a\x0bb\u00a0c d"]], "t string").select(common.words_of(F.col("t")).alias("w")).collect()
     assert [r["w"] for r in rows] == [[], [], ["a"], ["a", "b\u00a0c", "d"]]
