@@ -33,6 +33,7 @@ BUCKETS = 1 << 15
 #: Of either multinomial's total, what is spread evenly over the buckets.
 SMOOTHING = 0.3
 THRESHOLD = -0.11
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _hashes(words: Column) -> Column:
@@ -110,10 +111,13 @@ def measured(text: Column, weights: Column, buckets: int) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row, the base columns, base_failed, score and kept."""
     rows = docs.select(F.struct(*keep).alias("row"), "text").withColumn("weights", bucket_weights(docs, labels, buckets).scalar())
-    found = rows.select("row", measured(F.col("text"), F.col("weights"), buckets).alias("m"))
-    failed = (F.col("m.n_words") < 10) | (100 * F.col("m.n_repeat_words") > 20 * F.col("m.n_words"))
-    kept = ~failed & (F.col("m.score") >= threshold)
-    return found.select("row.*", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), kept.alias("kept"), "m.score")
+
+    def decided(m: Column) -> Column:
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in COUNTED], failed.alias("base_failed"), (~failed & (m["score"] >= threshold)).alias("kept"), m["score"].alias("score"))
+
+    # The verdict is part of the same value, so that a filter on it repeats that value once at most.
+    return rows.select("row", let(measured(F.col("text"), F.col("weights"), buckets), decided).alias("m")).select("row.*", "m.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
