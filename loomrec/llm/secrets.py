@@ -6,7 +6,7 @@ pairs it has not seen, and findings are joined back to every row that holds the
 position comes from the texts between the matches: what a split at the pattern leaves, and the
 matches themselves, in turn.
 
-Defined cases: a null text is an empty blob without findings; repeated rows share one scan and
+Defined cases: a null text is an empty blob without findings; very long texts are scanned whole; repeated rows share one scan and
 each get its findings; a null doc_id is a row like any other; an empty table adds nothing. Other
 columns of the input are ignored.
 """
@@ -67,10 +67,15 @@ def _matches(text: str, rule: Rule) -> F.Column:
     return F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), (F.length(x["k"]) >= rule.least).alias("good")))
 
 
+def _likely(text: F.Column, rules) -> F.Column:
+    """Whether a text holds what some rule needs."""
+    return text.rlike("|".join(f"(?:{r.needs or r.pattern})" for r in rules))
+
+
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     """Findings (blob, version, kind, rank, start, end) of rows blob, text, todo (the rule versions to run)."""
     nothing = F.lit(None).cast("array<struct<gap:int,len:int,good:boolean>>")
-    found = blobs.where(F.col("text").rlike("|".join(f"(?:{r.needs or r.pattern})" for r in rules)))
+    found = blobs.where(_likely(F.col("text"), rules))
     per_rule = [
         F.struct(F.lit(r.version).alias("version"), F.lit(r.kind).alias("kind"), F.lit(i).alias("rank"), F.when(F.array_contains("todo", r.version) & F.col("text").rlike(r.needs or r.pattern), _matches("text", r)).otherwise(nothing).alias("matches"))
         for i, r in enumerate(rules)
@@ -119,7 +124,9 @@ class BlobLedger:
             left = F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>")))
             return rows.join(seen, "blob", "left").withColumn("todo", left).where("size(todo) > 0").drop("seen")
 
-        blobs = unseen(docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"]))
+        # Texts that no rule can match are not sent anywhere; their blobs are entered all the same.
+        likely = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(_likely(F.col("text"), rules))
+        blobs = unseen(likely.select(blob_id(F.col("text")).alias("blob"), "text").dropDuplicates(["blob"]))
         added = unseen(docs.select(blob_id(F.col("text")).alias("blob")).distinct()).select("blob", F.col("todo").alias("versions"))
         run = fresh_path(self.spark, "scan")
         added.write.parquet(run)
