@@ -5,12 +5,11 @@ compressed with every dictionary, in segments, so the dictionary tells as much a
 text as at its beginning; the language of the smallest sum wins. Where the margin to the second is
 narrow the answer is marked as rejected.
 
-Training takes at most ``per_lang`` rows of each language, those of least hash of doc_id, and of
-each at most ``sample_chars`` characters; at most ``max_langs`` languages, the most frequent, are
-learned. Samples that the first dictionaries take for another language are left out of the second.
+Training takes at most ``per_lang`` rows of each language, those of least hash, and of each a piece
+from anywhere in its text; all languages are learned. Samples that the first dictionaries take for another language are left out of the second.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without training rows
-all are ``und``; null langs are never learned; a null doc_id is not trained on and not held out;
+all are ``und``; very long texts are compressed whole, segment by segment; null langs are never learned; a null doc_id is not trained on and not held out;
 repeated rows are judged alike; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -62,7 +61,7 @@ class Compressors:
         return [sum(len(c.compress(p)) for p in parts) for c in self.made]
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, margin); of equal sizes the language learned from more rows."""
+        """(language, score, margin); of equal sizes the language first by name."""
         if text is None or not self.langs or not LETTERS.search(text):
             return "und", 0.0, 0.0
         sizes = self.sizes(text)
@@ -74,20 +73,39 @@ class Compressors:
         return self.langs[order[0]], score, (sizes[order[1]] - best) / sizes[order[1]]
 
 
-def learn(train: DataFrame, per_lang: int = 200, sample_chars: int = 4096, dict_bytes: int = 98_304, max_langs: int = 256) -> dict[str, bytes]:
-    """Dictionary contents by language, from rows doc_id, text, lang; at most per_lang * max_langs texts of sample_chars reach the driver."""
+def learn(train: DataFrame, per_lang: int = 200, sample_chars: int = 4096, dict_bytes: int = 98_304, total_bytes: int = 64 << 20) -> dict[str, bytes]:
+    """Dictionary contents by language, from rows doc_id, text, lang.
+
+    Of each language ``per_lang`` rows are learned from, those of least hash of id and text, and of
+    a row a piece of ``sample_chars`` characters that begins anywhere in its text, by that hash.
+    All languages share ``total_bytes`` of the driver's memory: with very many, each has fewer rows
+    and a smaller dictionary; it is an error if not even a row of each finds room.
+    """
     rows = train.where("lang is not null and text is not null and doc_id is not null")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    least = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(least)).where(F.col("k") <= per_lang)
-    texts = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h"))
-    found: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"], r["text"]))[: 2 * per_lang * max_langs]:
-        found[r["lang"]].append(r["text"])
+    n_langs = rows.select("lang").distinct().count()
+    share = total_bytes // max(1, n_langs)
+    taken = min(per_lang, share // (4 * sample_chars))
+    if not taken:
+        raise ValueError(f"{n_langs} languages do not fit into total_bytes={total_bytes}")
+    h = F.xxhash64("doc_id", "text")
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
+    pieces = rows.select("doc_id", "lang", h.alias("h"), "text").select("doc_id", "lang", "h", F.col("text").substr(begin, F.lit(sample_chars)).alias("piece"))
+    # Spark keeps the least of each language in every task before it sends any.
+    least = Window.partitionBy("lang").orderBy("h", "doc_id", "piece")
+    texts = pieces.withColumn("k", F.row_number().over(least)).where(F.col("k") <= taken)
+    found: dict[str, list[str]] = {}
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["k"])):
+        found.setdefault(r["lang"], []).append(r["piece"])
 
     def contents(of: dict[str, list[str]]) -> dict[str, bytes]:
-        # The end of a dictionary is nearest to the text, so the cut is at its beginning.
-        return {lang: b"\n".join(map(letters, t))[-dict_bytes:] for lang, t in of.items() if any(map(LETTERS.search, t))}
+        # The end of a dictionary is nearest to the text; what does not fit is cut evenly off all pieces.
+        out = {}
+        for lang, parts in of.items():
+            made = [x for x in map(letters, parts) if x]
+            total, most = sum(map(len, made)), min(dict_bytes, share)
+            if made:
+                out[lang] = b"\n".join(x[: max(1, len(x) * most // total)] for x in made) if total > most else b"\n".join(made)
+        return out
 
     if len(contents(found)) < 2:
         return contents(found)
