@@ -131,27 +131,32 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN s USING (rid)
 """ % ",\n".join("    ({}, '{}', '{}', {}, {})".format(i, r.kind, r.pattern.replace("'", "''"), r.group, r.least) for i, r in enumerate(secrets.RULES))
 
-#: budget 1024, history 256, 4 tokens of overhead a turn, as in format_conversations().
+#: budget 1024, history 256, stretches of 64 budgets, 4 tokens of overhead a turn, as in format_conversations().
 OP10_SQL = """
-WITH t AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
+WITH RECURSIVE t AS (
+    SELECT conv_id, coalesce(conv_id::VARCHAR, 'n') AS key, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, '-1', 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, '-1', 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn, role, text) AS pos, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS tokens,
         length(regexp_replace(text, '<(\\\\*)\\|', '<\\1.|', 'g')) + length(role) + 24 AS chars FROM t),
 q AS (SELECT *, pos = 1 AND role = 'system' AS sys FROM p),
-u AS (SELECT *, coalesce(sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-        greatest(1, 1024 - 256 - sum(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) - max(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id)) AS stride FROM q),
-w AS (SELECT *, start // stride AS win FROM u),
-s AS (SELECT conv_id, win, min(start) AS span_start FROM w WHERE NOT sys AND win > 0 GROUP BY conv_id, win),
-h AS (SELECT w.conv_id, sum(w.chars) AS extra FROM w JOIN s ON w.conv_id IS NOT DISTINCT FROM s.conv_id
-    WHERE w.sys OR w.win < s.win AND s.span_start - w.start <= 256 GROUP BY w.conv_id)
-SELECT w.conv_id, count(*) AS n_turns,
+u AS (SELECT *, coalesce(sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+        sum(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY key) AS kept FROM q),
+r AS (SELECT *, start - coalesce(min(start) OVER h, start) AS past FROM u WHERE NOT sys WINDOW h AS (PARTITION BY key ORDER BY start RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE WHEN kept + past + tokens <= 1024 THEN past ELSE 0 END AS hist, start // 65536 AS stretch FROM r),
+w AS (SELECT key, stretch, min(pos) AS pos FROM f GROUP BY key, stretch
+    UNION ALL
+    SELECT n.key, n.stretch, min(n.pos) FROM w JOIN f c ON c.key = w.key AND c.pos = w.pos
+        JOIN f n ON n.key = w.key AND n.stretch = w.stretch AND n.pos > w.pos AND c.kept + c.hist + n.start + n.tokens - c.start > 1024
+    GROUP BY n.key, n.stretch, w.pos),
+l AS (SELECT f.* FROM w JOIN f ON f.key = w.key AND f.pos = w.pos WHERE w.pos > (SELECT min(pos) FROM f x WHERE x.key = w.key)),
+e AS (SELECT l.key, sum(u.chars) AS extra FROM l JOIN u ON u.key = l.key AND (u.sys OR u.pos < l.pos AND u.start >= l.start - l.hist) GROUP BY l.key)
+SELECT any_value(u.conv_id) AS conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
     (sum(chars) + coalesce(any_value(extra), 0))::BIGINT AS formatted_chars
-FROM w LEFT JOIN h ON w.conv_id IS NOT DISTINCT FROM h.conv_id GROUP BY w.conv_id
+FROM u LEFT JOIN e ON u.key = e.key GROUP BY u.key
 """
 
 
