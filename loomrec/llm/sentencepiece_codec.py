@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The pieces come from a public model file, whose path is a parameter; nothing is trained. The file
-at hand holds merge ranks as scores, so a piece's log score is that of Zipf's law at its rank:
--log(rank + 1), normalised. The best path is the one of greatest summed log score; a character that
+The pieces come from a public model file, whose path is a parameter; a tokenizer is never trained
+here. The file at hand holds merge ranks as scores and no counts, so a piece's log score is what
+Zipf's law gives its rank, -log(rank + 1), normalised: log probabilities of a stated distribution
+over the file's ranking, not likelihoods fitted to a corpus. The best path is the one of greatest summed log score; a character that
 is no piece by itself may also be spelled in byte pieces, at ten below the least log score.
 Spaces become the marker U+2581, one more stands before the text. A marker that is in the text
 already is spelled in bytes, and a text decodes to exactly what it was.
@@ -11,7 +12,8 @@ No piece has a marker after another character, nor a newline, so the best path o
 of the best paths of its units: runs of markers with what follows up to the next one, and newlines.
 Each worker remembers the paths of units it has met, up to a bound.
 
-Defined cases: a null text has null ids; an empty text has no ids; very long texts are encoded
+Defined cases: of paths of equal score the one whose last piece begins first is taken, and so on
+towards the beginning; a null text has null ids; an empty text has no ids; very long texts are encoded
 whole; repeated rows are encoded alike; an empty table gives an empty result. Other columns are
 ignored by ``encode_documents``.
 """

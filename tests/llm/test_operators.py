@@ -81,6 +81,14 @@ def test_url_filter_against_brute_force(spark, none):
     assert url_filters.judge_urls(pages.limit(0), frame).count() == 0
 
 
+def test_very_long_urls(spark):
+    hosts = [".".join(["a"] * 3000 + ["example", "com"]), "b" * 50_000 + ".net"]
+    pages = spark.createDataFrame([(k, f"https://{h}/en/{'p/' * 20_000}") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = [("example.com", "/en/", "block"), ("net", "/en/p/", "block"), ("com", "/", "allow")]
+    got = sorted(tuple(r) for r in url_filters.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect())
+    assert got == [(k, *judged(f"https://{h}/en/{'p/' * 20_000}", rules)) for k, h in enumerate(hosts)]
+
+
 def test_stacks_carry_over_runs(spark):
     rules = [("com", "/" + "a" * k, "allow") for k in range(12)]
     frame = spark.createDataFrame(rules, "host string, path string, verdict string")
@@ -109,6 +117,47 @@ def best_path(codec, text):
     return best[-1]
 
 
+def test_viterbi_ties_and_bytes():
+    """Random texts over a small vocabulary with equal scores and byte runs: no path is better, and the text comes back."""
+    pieces = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), "▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "é", "aé"]
+    kinds = ["other"] + ["byte"] * 256 + ["piece"] * 10
+    scores = [0.0] * 257 + [-2.0, -2.0, -2.0, -4.0, -4.0, -6.0, -4.0, -6.0, -2.0, -4.0]
+    codec = sentencepiece_codec.Codec(pieces, scores, kinds)
+    rnd = random.Random(6)
+    for _ in range(400):
+        text = "".join(rnd.choice(["a", "b", "ab", " ", "é", "日", "\U0001f600", "\n", "▁", "z"]) for _ in range(rnd.randrange(1, 40)))
+        ids = codec.encode(text).tolist()
+        assert codec.decode(codec.encode(text)) == text and ids == codec.encode(text).tolist()
+        plain = text.replace("\n", "z").replace("▁", "z")
+        own, k, ids = 0.0, 0, codec.encode(plain).tolist()
+        while k < len(ids):
+            if codec.is_byte[ids[k]]:
+                first = codec.spelling[ids[k]][0]
+                k += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                own += codec.fallback
+            else:
+                own += scores[ids[k]]
+                k += 1
+        assert own == pytest.approx(sum(best_path_of_units(codec, plain)))
+    # Of equal paths the one whose last piece begins first: one long piece before two short ones.
+    assert codec.encode("ab").tolist() == [pieces.index("▁ab")]
+
+
+def best_path_of_units(codec, text):
+    """Scores of the best path by plain dynamic programming, in one piece, over spaces as they are."""
+    ids = {s.decode(): i for i, s in enumerate(codec.spelling) if s and not codec.is_byte[i]}
+    marked = " " + text
+    best = [0.0] + [-math.inf] * len(marked)
+    for end in range(1, len(marked) + 1):
+        for begin in range(max(0, end - 4), end):
+            part = marked[begin:end]
+            if part in ids:
+                best[end] = max(best[end], best[begin] + codec.scores[ids[part]])
+            elif end == begin + 1:
+                best[end] = max(best[end], best[begin] + codec.fallback)
+    return [best[-1]]
+
+
 def test_sentencepiece(docs, none, spark):
     codec = sentencepiece_codec.Codec(*sentencepiece_codec.read_model())
     value = {i: s for i, s in enumerate(codec.scores)}
@@ -297,6 +346,69 @@ def test_language(spark, docs, none, sf_dir):
     assert langid.identify(none, contents).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    """Every prediction is that of compressing the whole text with each dictionary, segment by segment."""
+    import zstandard
+
+    voices = {"en": "the old mill stands by a quiet river and the road runs past it to the town".split(), "fr": "le vieux moulin se tient au bord d une rivière calme et la route va vers la ville".split(), "de": "die alte mühle steht an einem stillen fluss und die straße führt daran vorbei zur stadt".split()}
+    rnd = random.Random(8)
+    rows = [(k, " ".join(rnd.choice(voices[lang]) for _ in range(n)), lang) for k, (lang, n) in enumerate((lang, n) for n in (3, 20, 200, 12_000) for lang in voices for _ in range(12 if n < 1000 else 2))]
+    # A text whose language changes: only the whole of it tells which has more.
+    rows.append((900, " ".join(rnd.choice(voices["en"]) for _ in range(3000)) + " " + " ".join(rnd.choice(voices["fr"]) for _ in range(6000)), "fr"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    contents = langid.learn(frame.where("doc_id < 900"))
+    made = {}
+    for lang, data in contents.items():
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made[lang] = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+    got = {r["doc_id"]: r for r in langid.identify(frame, contents).collect()}
+    for k, text, lang in rows:
+        data = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
+        sizes = {x: sum(len(c.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)) for x, c in made.items()}
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        assert got[k]["lang_pred"] == best
+        assert got[k]["score"] == pytest.approx(1 / sum(math.exp(max(-700.0, (sizes[best] - s) / 8)) for s in sizes.values()))
+        second = sorted(sizes.values())[1]
+        assert got[k]["rejected"] == ((second - sizes[best]) / second < langid.NARROW)
+        if len(text.split()) >= 20:
+            assert best == lang
+
+
+def test_language_learns_all_within_its_bytes(spark):
+    rows = [(k, f"sprache{k % 400} " * 3000, f"l{k % 400:03}") for k in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").union(spark.createDataFrame([(7, "again " * 100, "l001")] * 500, "doc_id long, text string, lang string"))
+    contents = langid.learn(frame, total_bytes=8 << 20)
+    assert len(contents) == 400 and sum(map(len, contents.values())) <= 8 << 20
+    with pytest.raises(ValueError):
+        langid.learn(frame, total_bytes=1 << 20)
+
+
+def test_label_model_on_planted_voters():
+    """Planted accuracies come back, and a voter repeated many times counts about once."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    truth = (rnd.random(6000) < 0.3).astype(float)
+    accuracy = np.array([0.9, 0.85, 0.8, 0.75, 0.7, 0.65])
+    votes = np.where(rnd.random((6000, 6)) < accuracy, truth[:, None], 1 - truth[:, None])
+    given = np.where(rnd.random(6000) < 0.85, truth, 1 - truth)
+    soft = toxicity.label_model(votes, given)
+    best = max(np.mean(given == truth), np.mean(votes[:, 0] == truth))
+    assert np.mean((soft >= 0.5) == truth) > best + 0.02
+    weighted = [np.sum(soft * votes[:, j] + (1 - soft) * (1 - votes[:, j])) / 6000 for j in range(6)]
+    assert np.abs(np.array(weighted) - accuracy).max() < 0.06
+    # Twenty copies of the worst voter: the posterior still follows the good ones.
+    many = np.hstack([votes, np.repeat(votes[:, 5:], 20, axis=1)])
+    assert np.mean((toxicity.label_model(many, given) >= 0.5) == truth) > 0.85
+
+
+def test_toxicity_precision_and_recall(spark):
+    docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.score(docs, toxicity.train(docs, marks)).join(marks, "doc_id").where("held_out").collect()
+    hit = sum(r["predicted"] and r["toxic"] == 1 for r in rows)
+    assert hit >= 0.8 * sum(r["toxic"] == 1 for r in rows) and hit >= 0.95 * sum(r["predicted"] for r in rows)
+
+
 def test_toxicity(spark, docs, labels, none, sf_dir):
     real, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.train(real, marks)
@@ -483,6 +595,52 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.format_conversations(frame.limit(0))).count() == 0
 
 
+def spans_of(rows, budget, history):
+    """The windows of one conversation, chosen turn by turn: (context positions, new positions, tokens)."""
+    sizes = [len(words(x)) + chat.TURN_OVERHEAD for _, _, x in rows]
+    system = 1 if rows[0][1] == "system" else 0
+    out, used, begun = [], 0, 0
+    for i in range(system, len(rows)):
+        begin = sum(sizes[system:i])
+        stretch = begin // (chat.STRETCH * budget)
+        if out and stretch == begun and used + sizes[i] <= budget:
+            out[-1][1].append(i)
+            used += sizes[i]
+            continue
+        past = []
+        while i - len(past) - 1 >= system and sum(sizes[i - len(past) - 1 : i]) <= history:
+            past.append(i - len(past) - 1)
+        if sum(sizes[:system]) + sum(sizes[j] for j in past) + sizes[i] > budget:
+            past = []
+        begun, used = stretch, sum(sizes[:system]) + sum(sizes[j] for j in past) + sizes[i]
+        first = not out
+        out.append(([] if first else [*range(system), *sorted(past)], [*range(system if first else 0), i] if first else [i]))
+    return [(c, n, sum(sizes[j] for j in c + n)) for c, n in out] or [([], [0], sizes[0])]
+
+
+def test_chat_spans_against_brute_force(spark):
+    rnd = random.Random(4)
+    turns = []
+    for conv in range(30):
+        for turn in range(rnd.randrange(1, 120)):
+            role = "system" if turn == 0 and conv % 2 else ["user", "assistant"][turn % 2]
+            turns.append((conv, turn, role, "w " * (rnd.randrange(60) if rnd.random() < 0.97 else rnd.randrange(900))))
+    long = [(100, k, ["user", "assistant"][k % 2], "w " * rnd.randrange(10, 60)) for k in range(400)]
+    turns += long + [(101, *t[1:]) for t in long[:200]] + [(101, 200, "user", "w " * 1500)] + [(101, t[1] + 1, *t[2:]) for t in long[200:]]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    by = {}
+    for c, t, r, x in turns:
+        by.setdefault(c, []).append((t, r, x))
+    for budget, history in ((120, 30), (1024, 256)):
+        got = {}
+        for w in sorted(chat.format_conversations(frame, budget, history).collect(), key=lambda w: (w["conv_id"], w["window"])):
+            got.setdefault(w["conv_id"], []).append((w["n_context"], w["formatted"].count(chat.OPEN) - w["n_context"], w["n_tokens"]))
+        for c, rows in by.items():
+            assert got[c] == [(len(a), len(b), n) for a, b, n in spans_of(sorted(rows), budget, history)], (c, budget)
+    assert sum(n for _, _, n in got[100]) > 0.8 * 1024 * len(got[100])
+    assert len(got[101]) <= len(got[100]) + 2
+
+
 # The pipeline
 
 
