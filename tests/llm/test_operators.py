@@ -464,7 +464,7 @@ def test_exact_dedup_rows_and_state(spark, docs, none, tmp_path):
 # 8
 
 
-def near_of(rows):
+def near_of(rows, similarity=85):
     sets = []
     for r in rows:
         w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(r[1])]
@@ -479,7 +479,7 @@ def near_of(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= similarity * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     comp = {}
     for i, r in enumerate(rows):
@@ -663,7 +663,7 @@ def test_pipeline(spark, sf_dir):
         if name == "exact_dedup":
             assert len(after) == len({WHITE.sub("", t) for t in before.values()})
         if name == "minhash_near_dedup":
-            assert len(after) == near_of([(k, t) for k, t in before.items()])[1]
+            assert len(after) == near_of([(k, t) for k, t in before.items()], 80)[1]
     out = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).collect()
     assert len(out) == counts[-1] and all(r["round_trip"] for r in out)
 
