@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomrec.operators.lookup import numbered
+
 
 def snapshot_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, status (added, removed, changed), one full outer join; unchanged rows are left out before anything else looks at them."""
@@ -40,11 +42,9 @@ def suppress(changes: DataFrame, rules: DataFrame) -> DataFrame:
 
 def common_changes(changes: DataFrame, least: int = 5) -> DataFrame:
     """The same change of the same type in ``least`` records or more, numbered CC001 and on in order."""
-    from pyspark.sql import Window
-
     groups = changes.groupBy("sig", "path", "from", "to").agg(F.count_distinct("form_id").alias("n")).where(F.col("n") >= least)
-    number = F.row_number().over(Window.orderBy("sig", "path", F.col("from").asc_nulls_first(), F.col("to").asc_nulls_first()))
-    return groups.withColumn("cc_id", F.format_string("CC%03d", number))
+    order = ["sig", "path", F.col("from").asc_nulls_first(), F.col("to").asc_nulls_first()]
+    return numbered(groups, order, "_number").withColumn("cc_id", F.format_string("CC%03d", "_number")).drop("_number")
 
 
 def rollout_shapes(changes: DataFrame, least: int = 20, examples: int = 3) -> DataFrame:

@@ -6,17 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.functions.scalar import parse_id, wildcard
+from loomrec.session import write_through
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the rows' numbers from 1 in an order of all of them.
+
+    Rows are dealt out by ranges of the order and sorted there; a task's rows are numbered from the
+    number of rows in the ranges before it. Only those counts, one a task, meet in one place. Rows
+    that the order holds equal stay together, in any order.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The low 33 bits count within a task, the others are the task.
+    held = write_through(dealt.select("*", F.shiftright(place, 33).alias("_task"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return held.join(F.broadcast(bases), "_task").withColumn(name, F.col("_base") + F.col("_at") + 1).drop("_task", "_at", "_base")
 
 
 def ranked_page(rows: DataFrame, order: list, offset: int = 0, limit: int = 0) -> DataFrame:
     """A page of rows in order, with rank (1 is the first of all); limit 0 is no limit.
 
-    The page is cut first, by a top-k that merges the tasks' own; only the page is numbered.
+    A page with a limit is cut first, by a top-k that merges the tasks' own; only the page is
+    numbered. Without a limit the rows are numbered where a range partitioning puts them.
     """
+    if not limit:
+        every = numbered(rows, order, "rank")
+        return every.where(F.col("rank") > offset) if offset else every
     page = rows.orderBy(*order)
-    page = page.offset(offset) if offset else page
-    if limit:
-        page = page.limit(limit)
+    page = (page.offset(offset) if offset else page).limit(limit)
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") + offset)
 
 
@@ -45,7 +64,7 @@ def resolve(selectors: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def bulk_get(selectors: DataFrame, records: DataFrame) -> DataFrame:
-    """A row for every selector, in its order: the record, or an error text."""
+    """A row for every selector, numbered by its ordinal: the record, or an error text."""
     found = resolve(selectors, records)
     named = records.withColumnRenamed("form_id", "f")
     out = found.join(named, F.col("form_id") == F.col("f"), "left").drop("f")
@@ -109,20 +128,29 @@ def filter_path(rows: DataFrame, body: str, path: str, op: str, operand: str = "
 
 
 def leaves(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """key, path, leaf (variant): every scalar of a variant body; array elements have [] in the path."""
-    rows.select(key, F.col(body).alias("body")).createOrReplaceTempView("loomrec_bodies")
-    return rows.sparkSession.sql(f"""
-        WITH RECURSIVE walk (id, path, v) AS (
-            SELECT {key}, '', body FROM loomrec_bodies WHERE body IS NOT NULL
-            UNION ALL
-            SELECT id, CASE WHEN e.key IS NULL THEN concat(path, '[]') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END, e.value
-            FROM walk, LATERAL variant_explode(v) e)
-        SELECT id AS {key}, path, v AS leaf FROM walk WHERE path <> '' AND NOT (schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%')""")
-
-
-def field_paths(rows: DataFrame, key: str, body: str, most: int = 5000) -> DataFrame:
-    """The distinct paths of the bodies, at most ``most``."""
-    return leaves(rows, key, body).select("path").distinct().orderBy("path").limit(most)
+    """key, path, leaf (variant): every scalar of a variant body; array elements have [] in the path.
+
+    Level by level: what is a container is exploded again, until none is left. Levels are written to
+    the shared folder, so there are as many jobs as the deepest body has levels, of any size.
+    """
+    spark = rows.sparkSession
+    front, found = rows.select(F.col(key), F.lit("").alias("path"), F.col(body).alias("v")).where("v is not null"), None
+    inner = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+    while True:
+        opened = front.withColumnRenamed(key, "_id").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        level = opened.select(F.col("_id").alias(key), inner.alias("path"), F.col("value").alias("v")).withColumn("inside", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        level = write_through(level, "leaves")
+        own = level.where("not inside").select(key, "path", F.col("v").alias("leaf"))
+        found = own if found is None else found.unionByName(own)
+        front = level.where("inside").select(key, "path", "v")
+        if front.isEmpty():
+            return found
+
+
+def field_paths(rows: DataFrame, key: str, body: str, most: int | None = None) -> DataFrame:
+    """The distinct paths of the bodies; the first ``most`` by path where that is given."""
+    paths = leaves(rows, key, body).select("path").distinct()
+    return paths if most is None else paths.orderBy("path").limit(most)
 
 
 def deep_scan(rows: DataFrame, key: str, body: str, op: str, operand: str) -> DataFrame:

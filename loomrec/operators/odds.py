@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from loomrec.session import write_through
 
-#: Lists of up to this many entries have exact pool odds; longer ones the mean-field estimate.
-EXACT = 16
 
 
 def use_all(p: Column) -> Column:
@@ -33,17 +31,19 @@ def first_match(entries: DataFrame, list_id: str, ordinal: str = "ordinal") -> D
     return entries.withColumn("chosen", F.col("p") * F.coalesce(F.product(1 - F.col("p")).over(before), F.lit(1.0)))
 
 
-def pool(entries: DataFrame, list_id: str, ordinal: str = "ordinal") -> DataFrame:
+def pool(entries: DataFrame, list_id: str, ordinal: str = "ordinal", estimate_over: int | None = None) -> DataFrame:
     """list, ordinal, p, chosen: the odds that an entry is drawn when one of those that pass is, evenly.
 
     Exactly p times the mean of 1 / (1 + K), K the number of other entries that pass: its
-    distribution is folded together from the other entries' chances. Lists are gathered only up to
-    EXACT entries; longer ones use p / max(1, sum of p).
+    distribution is folded together from the other entries' chances, in time that grows with the cube
+    of a list's length. Only where ``estimate_over`` is given do lists of more entries than that use
+    p / max(1, sum of p) instead, without being gathered.
     """
     whole = Window.partitionBy(list_id)
     sized = entries.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("total", F.sum("p").over(whole))
-    long = sized.where(F.col("n") > EXACT).select(list_id, ordinal, "p", (F.col("p") / F.greatest(F.lit(1.0), "total")).alias("chosen"))
-    lists = sized.where(F.col("n") <= EXACT).groupBy(list_id).agg(F.array_sort(F.collect_list(F.struct(ordinal, "p"))).alias("all"))
+    is_long = F.lit(False) if estimate_over is None else F.col("n") > estimate_over
+    long = sized.where(is_long).select(list_id, ordinal, "p", (F.col("p") / F.greatest(F.lit(1.0), "total")).alias("chosen"))
+    lists = sized.where(~is_long).groupBy(list_id).agg(F.array_sort(F.collect_list(F.struct(ordinal, "p"))).alias("all"))
     each = lists.select(list_id, "all", F.posexplode("all").alias("i", "own")).withColumn("rest", F.expr("filter(all, (e, k) -> k != i)"))
     spread = "aggregate(rest, array(1.0D), (d, e) -> transform(sequence(0, size(d)), k -> coalesce(get(d, k), 0.0D) * (1 - e.p) + coalesce(get(d, k - 1), 0.0D) * e.p))"
     mean = f"aggregate(transform({spread}, (x, k) -> x / (k + 1)), 0.0D, (a, x) -> a + x)"

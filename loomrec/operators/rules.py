@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomrec.operators.lookup import numbered
+
 
 def first_rule(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     """The name of the first rule that holds."""
@@ -38,10 +40,8 @@ def unreferenced(records: DataFrame, edges: DataFrame) -> DataFrame:
 
 def lint_rows(*found: tuple[str, DataFrame]) -> DataFrame:
     """rule, form_id of every rule's findings, numbered L0001 and on in order."""
-    from pyspark.sql import Window
-
     rows = None
     for rule, frame in found:
         one = frame.select(F.lit(rule).alias("rule"), "form_id")
         rows = one if rows is None else rows.unionByName(one)
-    return rows.withColumn("lint_id", F.format_string("L%04d", F.row_number().over(Window.orderBy("rule", "form_id"))))
+    return numbered(rows, ["rule", "form_id"], "_number").withColumn("lint_id", F.format_string("L%04d", "_number")).drop("_number")

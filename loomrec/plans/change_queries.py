@@ -12,8 +12,7 @@ from loomrec.operators import bundles, changes, diff
 from loomrec.plans.model import BASE, edges, records, records_sql, second_snapshot, second_sql, table
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-SMALL = ("REGN", "NATN", "CUST", "SUPP", "PART", "ORDR")
-PAIR = f"WITH a AS ({records_sql(SMALL)}), b AS ({second_sql('a')})"
+PAIR = f"WITH a AS ({records_sql()}), b AS ({second_sql('a')})"
 #: The markers of the cut query.
 MARKERS = ["ZZZ", "CUT", "POST"]
 
@@ -27,7 +26,7 @@ def query(sql: str):
 
 
 def _pair(spark, d):
-    a = records(spark, d, SMALL)
+    a = records(spark, d)
     return a, second_snapshot(a)
 
 

@@ -1,7 +1,9 @@
 """The record model: any keyed tables as records, edges between them, and a second snapshot.
 
 A record has a signature (its type), a form_id unique over all types (type number times 2^32 plus
-the key), an editor_id, a name and a numeric value. Edges are the foreign keys. The second snapshot
+the key), an editor_id, a name and a numeric value. Line numbers repeat within an order: the second
+line of a number and those after it have ids of their own, 8 times 2^32 apart, and the first has the
+id that edges give. Edges are the foreign keys. The second snapshot
 is derived: records whose key is a multiple of 17 are gone, those of a multiple of 19 come again
 under a new id, and values change where the key is a multiple of 7.
 """
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = 1 << 32
+#: Lines that agree in all of these columns are alike, so any order among them gives the same records.
+COPIES = f" + (row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) * {8 * BASE}"
 #: Type number, table, key, editor id, name and value of each record type.
 TYPES = {
     "REGN": (1, "region", "r_regionkey", "r_name", "r_name", "cast(null as double)"),
@@ -20,7 +24,7 @@ TYPES = {
     "SUPP": (4, "supplier", "s_suppkey", "s_name", "s_name", "s_acctbal"),
     "PART": (5, "part", "p_partkey", "p_name", "p_type", "p_retailprice"),
     "ORDR": (6, "orders", "o_orderkey", "concat('Order#', o_orderkey)", "o_orderpriority", "o_totalprice"),
-    "LINE": (7, "lineitem", "l_orderkey * 8 + l_linenumber", "concat('Line#', l_orderkey, '-', l_linenumber)", "l_returnflag", "l_extendedprice"),
+    "LINE": (7, "lineitem", "l_orderkey * 8 + l_linenumber" + COPIES, "concat('Line#', l_orderkey, '-', l_linenumber)", "l_returnflag", "l_extendedprice"),
 }
 #: Referencing type, referenced type and the referenced key in the referencing table.
 LINKS = [("NATN", "REGN", "n_regionkey"), ("CUST", "NATN", "c_nationkey"), ("SUPP", "NATN", "s_nationkey"), ("ORDR", "CUST", "o_custkey"), ("LINE", "ORDR", "l_orderkey"), ("LINE", "PART", "l_partkey"), ("LINE", "SUPP", "l_suppkey")]
@@ -56,14 +60,14 @@ def edges(spark: SparkSession, sf_dir: str, sources: tuple[str, ...] | None = No
         if sources and a not in sources:
             continue
         number, source, own, *_ = TYPES[a]
-        one = table(spark, sf_dir, source).selectExpr(f"{_id(number, own)} as src", f"'{a}' as src_sig", f"{_id(TYPES[b][0], key)} as dst", f"'{b}' as dst_sig")
+        one = table(spark, sf_dir, source).selectExpr(f"{_id(number, own.removesuffix(COPIES))} as src", f"'{a}' as src_sig", f"{_id(TYPES[b][0], key)} as dst", f"'{b}' as dst_sig")
         out = one if out is None else out.unionByName(one)
     return out.where("dst is not null")
 
 
 def edges_sql(sources: tuple[str, ...] | None = None) -> str:
     picked = [(a, b, k) for a, b, k in LINKS if not sources or a in sources]
-    return " UNION ALL ".join(f"SELECT {_id(TYPES[a][0], TYPES[a][2])} AS src, '{a}' AS src_sig, {_id(TYPES[b][0], k)} AS dst, '{b}' AS dst_sig FROM {TYPES[a][1]}" for a, b, k in picked)
+    return " UNION ALL ".join(f"SELECT {_id(TYPES[a][0], TYPES[a][2].removesuffix(COPIES))} AS src, '{a}' AS src_sig, {_id(TYPES[b][0], k)} AS dst, '{b}' AS dst_sig FROM {TYPES[a][1]}" for a, b, k in picked)
 
 
 def key_of(form_id: Column) -> Column:

@@ -15,8 +15,7 @@ from loomrec.plans.model import BASE, edges, edges_sql, records, records_sql, se
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 R = f"WITH records AS ({records_sql()})"
 E = f"WITH edges AS ({edges_sql()})"
-SMALL = ("REGN", "NATN", "CUST", "SUPP", "PART", "ORDR")
-PAIR = f"WITH a AS ({records_sql(SMALL)}), b AS ({second_sql('a')})"
+PAIR = f"WITH a AS ({records_sql()}), b AS ({second_sql('a')})"
 
 
 def query(sql: str | None):
@@ -253,12 +252,12 @@ def topk_context(spark, d):
 
 
 def _pair(spark, d):
-    a = records(spark, d, SMALL)
+    a = records(spark, d)
     return a, second_snapshot(a)
 
 
 FIELDS = ["name", "value"]
-CHANGED = PAIR + ", x AS (SELECT a.sig, a.form_id, a.name AS n1, b.name AS n2, a.value AS v1, b.value AS v2 FROM a JOIN b USING (form_id)), c AS (SELECT sig, form_id, 'name' AS path, n1 AS \"from\", n2 AS \"to\" FROM x WHERE n1 IS DISTINCT FROM n2 UNION ALL SELECT sig, form_id, 'value', NULL, NULL FROM x WHERE v1 IS DISTINCT FROM v2)"
+CHANGED = PAIR + ", x AS (SELECT a.sig, a.form_id, a.name AS n1, b.name AS n2, a.value AS v1, b.value AS v2 FROM a JOIN b USING (form_id)), c AS (SELECT sig, form_id, 'name' AS path, n1 AS \"from\", n2 AS \"to\", NULL::DOUBLE AS from_number, NULL::DOUBLE AS to_number FROM x WHERE n1 IS DISTINCT FROM n2 UNION ALL SELECT sig, form_id, 'value', NULL, NULL, v1, v2 FROM x WHERE v1 IS DISTINCT FROM v2)"
 
 
 def _changes(spark, d):
@@ -279,12 +278,12 @@ def diff_removed(spark, d):
     return diff.snapshot_diff(a, b, "form_id", ["sig", *FIELDS]).where("status = 'removed'").select("form_id", "old.sig")
 
 
-@query(CHANGED + ' SELECT sig, form_id, path, "from", "to" FROM c')
+@query(CHANGED + ' SELECT sig, form_id, path, "from", "to", from_number, to_number FROM c')
 def diff_changed_fields(spark, d):
     rows = _changes(spark, d)
-    # Texts of numbers differ between engines, so a changed number shows as its path alone.
-    hidden = F.when(F.col("path") == "name", F.col("from")), F.when(F.col("path") == "name", F.col("to"))
-    return rows.select("sig", "form_id", "path", hidden[0].alias("from"), hidden[1].alias("to"))
+    # Texts of numbers differ between engines, so numbers have columns of their own.
+    sides = [F.when(F.col("path") == "name", F.col(c)).alias(c) for c in ("from", "to")]
+    return rows.select("sig", "form_id", "path", *sides, *[F.when(F.col("path") == "value", F.col(c).cast("double")).alias(f"{c}_number") for c in ("from", "to")])
 
 
 @query(CHANGED + " SELECT sig, path, count(*) AS n FROM c GROUP BY sig, path")
