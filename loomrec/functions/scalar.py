@@ -70,6 +70,15 @@ def inline_text(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"^<ID=[^>]*>\s*", ""), F.lit(""))
 
 
+def hex_lower(data: Column) -> Column:
+    return F.lower(F.hex(data))
+
+
+def zstring(data: Column) -> Column:
+    """The text up to the first zero byte."""
+    return F.substring_index(F.decode(data, "utf-8"), "\0", 1)
+
+
 def flag_names(value: Column, names: list[str]) -> Column:
     """The names of the bits that are set."""
     return F.filter(F.array(*[F.when(F.getbit(value, F.lit(i)) == 1, n) for i, n in enumerate(names)]), lambda n: n.isNotNull())

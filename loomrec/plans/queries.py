@@ -423,9 +423,10 @@ def dangling_refs(spark, d):
     return rules.dangling(lines, parts.where("form_id % 17 <> 0"), parts.where("form_id % 19 = 0")).select("src", "dst")
 
 
-@query("SELECT c_custkey AS form_id FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS form_id FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey")
 def unreferenced(spark, d):
-    return rules.unreferenced(table(spark, d, "customer").selectExpr("c_custkey as form_id"), table(spark, d, "orders").selectExpr("o_custkey as dst"))
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return rules.unreferenced(table(spark, d, "customer").selectExpr("c_custkey as form_id"), urgent.selectExpr("o_custkey as dst"))
 
 
 @query("SELECT o_custkey, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'rollout' WHEN bool_or(o_totalprice > 400000) THEN 'deep' WHEN count(*) < 5 THEN 'drop' WHEN max(o_totalprice) < 300000 THEN 'brief' ELSE 'ambiguous' END AS tier FROM orders GROUP BY o_custkey")
