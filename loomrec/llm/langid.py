@@ -87,14 +87,15 @@ def learn(train: DataFrame, per_lang: int = 200, sample_chars: int = 4096, dict_
     taken = min(per_lang, share // (4 * sample_chars))
     if not taken:
         raise ValueError(f"{n_langs} languages do not fit into total_bytes={total_bytes}")
-    # By the languages' sizes, only hashes are looked at below which three times the rows wanted are
-    # expected; so what is sent does not grow with the table, and fewer than wanted is out of reach.
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # By each language's number of different rows, only hashes are looked at below which three times
+    # the rows wanted, and twenty more, are expected; so what is sent does not grow with the table.
+    # A row that is there many times counts once.
     h = F.xxhash64("doc_id", "text")
-    low = F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53) * F.col("n") <= 3 * taken
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n"))
+    low = F.shiftrightunsigned(F.col("h"), 11) / float(1 << 53) * F.col("n") <= 3 * taken + 20
     begin = F.pmod(F.col("h"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
     hashed = rows.select("doc_id", "lang", h.alias("h"), "text").join(F.broadcast(sizes), "lang").where(low)
-    pieces = hashed.select("doc_id", "lang", "h", F.col("text").substr(begin, F.lit(sample_chars)).alias("piece"))
+    pieces = hashed.select("doc_id", "lang", "h", F.col("text").substr(begin, F.lit(sample_chars)).alias("piece")).dropDuplicates(["lang", "h"])
     least = Window.partitionBy("lang").orderBy("h", "doc_id", "piece")
     texts = pieces.withColumn("k", F.row_number().over(least)).where(F.col("k") <= taken)
     found: dict[str, list[str]] = {}
