@@ -57,25 +57,6 @@ def rollout_shapes(changes: DataFrame, least: int = 20, examples: int = 3) -> Da
     return counts.join(shown, ["sig", "shape"])
 
 
-def nested_changes(pairs: DataFrame, key: str) -> DataFrame:
-    """key, changes (JSON) of rows key, old, new (JSON texts) whose bodies differ; equal texts never reach Python."""
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from loomrec.functions.nested import difference
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [difference(json.loads(a) if isinstance(a, str) else None, json.loads(b) if isinstance(b, str) else None) for a, b in zip(batch["old"], batch["new"], strict=True)]
-            out = pd.DataFrame({key: batch[key], "changes": [None if c is None else json.dumps(c) for c in found]})
-            yield out[out["changes"].notna()]
-
-    differing = pairs.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "old", "new")
-    return differing.mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, changes string")
-
-
 def change_kind(from_: str, to: str) -> F.Column:
     """added, removed or changed, from the two sides of a field change."""
     return F.when(F.col(from_).isNull(), "added").when(F.col(to).isNull(), "removed").otherwise("changed")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,9 +129,11 @@ def filter_path(rows: DataFrame, body: str, path: str, op: str, operand: str = "
     return rows.where(F.exists(at_path(F.col(body), path), lambda v: value_test(v, op, operand)))
 
 
-def leaves(rows: DataFrame, key: str, body: str) -> DataFrame:
+def leaves(rows: DataFrame, key: str, body: str, whole: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, path, leaf (variant): every scalar of a variant body; array elements have [] in the path.
 
+    Containers that ``whole`` holds for are leaves, too.
+
     Level by level: what is a container is exploded again, until none is left. Levels are written to
     the shared folder, so there are as many jobs as the deepest body has levels, of any size.
     """
@@ -139,6 +143,8 @@ def leaves(rows: DataFrame, key: str, body: str) -> DataFrame:
     while True:
         opened = front.withColumnRenamed(key, "_id").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         level = opened.select(F.col("_id").alias(key), inner.alias("path"), F.col("value").alias("v")).withColumn("inside", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        if whole is not None:
+            level = level.withColumn("inside", F.col("inside") & ~F.coalesce(whole(F.col("v")), F.lit(False)))
         level = write_through(level, "leaves")
         own = level.where("not inside").select(key, "path", F.col("v").alias("leaf"))
         found = own if found is None else found.unionByName(own)
