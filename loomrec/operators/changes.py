@@ -60,6 +60,26 @@ def strip_fields(changes: DataFrame, rules: DataFrame) -> DataFrame:
     return changes.join(rule, (F.col("path") == F.col("for_path")) & F.coalesce(F.col("sig") == F.col("for_sig"), F.col("for_sig").isNull()), "left_anti")
 
 
+#: Fields (type, name) that appear by themselves when a record is saved again.
+APPEARING = [("INFO", "Previous INFO")]
+
+
+def without_restamps(changes: DataFrame, appearing: list[tuple[str, str]] = APPEARING) -> DataFrame:
+    """Changes (sig, path, from and to as JSON texts) without what saving a record again explains.
+
+    That is raw bytes, all zero, on one side with nothing on the other, and the fields of ``appearing`` (type,
+    last name of the path) where nothing was before. A null side, SQL or JSON, is nothing.
+    """
+    value = lambda side: F.when(F.col(side) != "null", F.try_parse_json(side))
+    zero = lambda side: F.coalesce(F.try_variant_get(value(side), "$._raw", "boolean") & F.try_variant_get(value(side), "$.hex", "string").rlike(r"^(00)*\z"), F.lit(False))
+    nothing = lambda side: value(side).isNull()
+    tabled = F.lit(False)
+    for sig, name in appearing:
+        tabled = tabled | ((F.col("sig") == sig) & (F.element_at(F.split("path", r"\."), -1) == name))
+    noise = (nothing("from") & zero("to")) | (nothing("to") & zero("from")) | (nothing("from") & ~nothing("to") & F.coalesce(tabled, F.lit(False)))
+    return changes.where(~noise)
+
+
 def reference_names(ids: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
     """form_id, sig, editor_id, name of every distinct id of ``ids`` that either snapshot has; the new one's record if both do."""
     told = F.struct("sig", "editor_id", "name")

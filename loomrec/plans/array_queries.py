@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.operators import arrays, carriers
+from loomrec.operators import arrays, carriers, changes
 from loomrec.plans.model import table
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -99,6 +99,28 @@ def references_out(spark, d):
     return arrays.references_out(_line_pairs(spark, d), "l_orderkey", "old")
 
 
+BLOB = """'{{"_raw":true,"hex":"' || CASE WHEN {} THEN '0000' ELSE '00A0' END || '"}}'"""
+SAVED = f"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'INFO' ELSE 'QUST' END AS sig, CASE WHEN o_custkey % 3 = 0 THEN 'Data.Previous INFO' ELSE 'Data.Bytes' END AS path,
+    CASE WHEN o_orderkey % 5 = 0 THEN {BLOB.format("o_custkey % 2 = 0")} WHEN o_orderkey % 5 = 1 THEN 'null' WHEN o_orderkey % 5 = 2 THEN '1' END AS old,
+    CASE WHEN o_custkey % 4 = 0 THEN {BLOB.format("o_orderkey % 3 = 0")} WHEN o_custkey % 4 = 1 THEN '2' END AS new FROM orders"""
+
+
+@query(
+    f"WITH s AS ({SAVED}), t AS (SELECT *, coalesce(old, 'null') = 'null' AS none_old, new IS NULL AS none_new FROM s)"
+    """ SELECT o_orderkey, sig, path, old AS "from", new AS "to" FROM t WHERE NOT (none_old AND coalesce(new LIKE '%"0000"}', false) OR none_new AND coalesce(old LIKE '%"0000"}', false) OR none_old AND NOT none_new AND sig = 'INFO' AND path = 'Data.Previous INFO')"""
+)
+def restamp_noise(spark, d):
+    blob = lambda test: f"concat('{{\"_raw\":true,\"hex\":\"', if({test}, '0000', '00A0'), '\"}}')"
+    rows = table(spark, d, "orders").selectExpr(
+        "o_orderkey",
+        "if(o_orderkey % 2 = 0, 'INFO', 'QUST') as sig",
+        "if(o_custkey % 3 = 0, 'Data.Previous INFO', 'Data.Bytes') as path",
+        f"case when o_orderkey % 5 = 0 then {blob('o_custkey % 2 = 0')} when o_orderkey % 5 = 1 then 'null' when o_orderkey % 5 = 2 then '1' end as from",
+        f"case when o_custkey % 4 = 0 then {blob('o_orderkey % 3 = 0')} when o_custkey % 4 = 1 then '2' end as to",
+    )
+    return changes.without_restamps(rows)
+
+
 def _carriers(spark, d):
     """Customers whose orders are effects: an entry point from the key, and the priority as scope."""
     point = F.struct(F.struct((F.col("o_orderkey") % 9).alias("value"), F.concat(F.lit("Mod Part "), F.col("o_orderkey") % 9).alias("name")).alias("Point"), F.col("o_orderstatus").alias("Scope"))
