@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_, or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.operators.lookup import leaves
@@ -52,8 +52,19 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def step_into(value: Column, path: Column) -> Column:
     """The variant at a path (array of names), null if it is not there."""
-    found = F.aggregate(path, value, lambda v, name: F.try_element_at(members(v), name))
-    return F.get(F.filter(F.array(found), lambda v: kind_of(v) != "V"), F.lit(0))
+    return _known(F.aggregate(path, value, lambda v, name: F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), name)))
+
+
+def _known(value: Column) -> Column:
+    """A variant, null if it is a JSON null."""
+    return F.get(F.filter(F.array(value), lambda v: ~F.is_variant_null(v)), F.lit(0))
+
+
+def _keys_of(value: Column, keys: Column) -> Column:
+    """What an element is matched by at each of the keys, an array of texts; its fields are taken apart once."""
+    rest = lambda fields, way: step_into(F.try_element_at(fields, F.get(way, F.lit(0))), F.slice(way, 2, F.size(way)))
+    first = lambda fields, ways: F.get(F.filter(F.transform(ways, lambda w: rest(fields, w)), lambda x: x.isNotNull()), F.lit(0))
+    return let(F.try_variant_get(value, "$", "map<string,variant>"), lambda fields: F.transform(keys, lambda ways: F.coalesce(matching_text(first(fields, ways)), F.lit("null"))))
 
 
 def is_scalar(value: Column) -> Column:
@@ -75,8 +86,23 @@ def _paths(items: list) -> Column:
     return F.array(*[F.array(*[F.array(*[F.lit(name) for name in way]) for way in ways]) for ways in items])
 
 
-def _has(value: Column, path: list[str]) -> Column:
-    return step_into(value, F.array(*[F.lit(name) for name in path])).isNotNull()
+def _at(value: Column, path: list[str]) -> Column:
+    """The variant at a path that is known beforehand, null if it is not there."""
+    if any("'" in name for name in path):
+        return step_into(value, F.array(*[F.lit(name) for name in path]))
+    found = F.try_variant_get(value, "$" + "".join(f"['{name}']" for name in path), "variant")
+    return F.when(~F.is_variant_null(found), found)
+
+
+def _rule_of(sample: Column, rules: list[list[list[list[str]]]]) -> Column:
+    """The number of the first rule whose keys are all there; null if none fits."""
+    return F.coalesce(F.lit(None).cast("int"), *[F.when(reduce(and_, [reduce(or_, [_at(sample, way).isNotNull() for way in ways]) for ways in rule]), F.lit(i)) for i, rule in enumerate(rules)])
+
+
+def _rule_keys(value: Column, number: Column, rules: list[list[list[list[str]]]]) -> Column:
+    """What an element is matched by under the rule of that number, as ``_keys_of`` finds it."""
+    each = [F.array(*[F.coalesce(matching_text(F.coalesce(*[_at(value, way) for way in ways])), F.lit("null")) for ways in rule]) for rule in rules]
+    return reduce(lambda case, i: case.when(number == i, each[i]), range(1, len(each)), F.when(number == 0, each[0]))
 
 
 def identity(sample: Column, rules: list[list[list[list[str]]]]) -> Column:
@@ -98,9 +124,8 @@ def identity(sample: Column, rules: list[list[list[list[str]]]]) -> Column:
         wraps = lambda n: (kind_of(F.try_element_at(outer, n)) == "O") & ~is_reference(F.try_element_at(outer, n))
         return F.filter(F.when(F.size(outer) == 1, F.map_keys(outer)).otherwise(F.array().cast("array<string>")), wraps)
 
-    fits = [F.when(reduce(and_, [reduce(or_, [_has(sample, way) for way in ways]) for ways in rule]), F.lit(i)) for i, rule in enumerate(rules)]
     fallback = let(inside_of(members(sample)), lambda inside: let(members(step_into(sample, inside)), lambda body: own_keys(F.array_sort(F.map_keys(body)), body, inside)))
-    return F.coalesce(F.get(F.array(*[_paths(rule) for rule in rules]), F.coalesce(*fits)), fallback) if rules else fallback
+    return F.coalesce(F.get(F.array(*[_paths(rule) for rule in rules]), _rule_of(sample, rules)), fallback) if rules else fallback
 
 
 def scalar_paths(sample: Column) -> Column:
@@ -159,27 +184,98 @@ def _surplus(side: list[str], other: list[str], low: int) -> list[int]:
     return out
 
 
-def _elements(pairs: DataFrame, key: str, path: str, rules: list) -> DataFrame:
-    """key, strategy, spec, widened, names, side, at, v of each element of the arrays at ``path`` that differ."""
-    arrays = pairs.select(F.col(key), *[F.try_variant_get(F.col(s), f"$['{path}']", "array<variant>").alias(s) for s in ("old", "new")])
-    arrays = arrays.where("old is not null and new is not null and not (to_json(old) <=> to_json(new))")
-    kinds = F.transform(F.concat("old", "new"), lambda v: F.when(is_scalar(v), "S").otherwise(kind_of(v)))
-    all_of = lambda kind: F.forall("kinds", lambda k: k == kind)
-    judged = arrays.withColumn("kinds", kinds).withColumn("sample", F.coalesce(F.get("old", F.lit(0)), F.get("new", F.lit(0))))
-    judged = judged.withColumn("spec", F.when(all_of("O"), identity(F.col("sample"), rules)))
-    alike = F.size("old") == F.size("new")
-    strategy = (
-        F.when(all_of("S"), "set")
-        .when(all_of("A"), F.when(alike, "positional").otherwise("unkeyed"))
-        .when(all_of("O") & F.col("spec").isNotNull(), "keyed")
-        .when(all_of("O") & alike, "positional")
-        .otherwise("unkeyed")
-    )
-    judged = judged.withColumn("strategy", strategy).withColumn("widened", F.when(F.col("strategy") == "keyed", F.concat("spec", F.array_except(scalar_paths(F.col("sample")), "spec"))))
-    present = lambda ways: F.coalesce(F.get(F.filter(ways, lambda w: step_into(F.col("sample"), w).isNotNull()), F.lit(0)), F.get(ways, F.lit(0)))
-    judged = judged.withColumn("names", F.transform("widened", lambda ways: F.array_join(present(ways), "/")))
-    sided = lambda s: F.transform(F.col(s), lambda v, i: F.struct(F.lit(s).alias("side"), i.cast("int").alias("at"), v.alias("v")))
-    return judged.select(key, "strategy", F.size("spec").alias("base"), "widened", "names", F.inline(F.concat(sided("old"), sided("new"))))
+def _judged(old: Column, new: Column, rules: list) -> Column:
+    """How two arrays are compared: struct strategy, key_fields, old and new (texts), ids_old and ids_new (of keyed ones); null if they do not differ.
+
+    Every step is a value of the record's own row, worked out once; further keys only where the first ones repeat.
+    """
+    texts = lambda side: F.transform(side, lambda v: F.to_json(v))
+    # A JSON text has no bare line end, so joined texts are equal where all of them are.
+    unique = lambda each: F.size(F.array_distinct(F.transform(each, lambda k: F.array_join(k, "\n")))) == F.size(each)
+    none = F.lit(None).cast("array<array<string>>")
+
+    def longest_start(each: Column) -> Column:
+        """How many first keys two elements share at most: in order of all keys, neighbours share most."""
+        start = lambda a, b: let(F.array_position(F.zip_with(a, b, lambda x, y: x != y), True), lambda p: F.when(p == 0, F.size(a)).otherwise(p - 1).cast("int"))
+        return let(F.sort_array(each), lambda s: F.coalesce(F.array_max(F.transform(s, lambda k, i: F.when(i > 0, start(k, F.get(s, i - 1))))), F.lit(0)))
+
+    def told(t: Column, strategy: Column | str, fields: Column | None = None, ids_old: Column = none, ids_new: Column = none) -> Column:
+        named = F.lit(strategy) if isinstance(strategy, str) else strategy
+        return F.struct(named.alias("strategy"), (F.lit(None).cast("string") if fields is None else fields).alias("key_fields"), t["old"].alias("old"), t["new"].alias("new"), ids_old.alias("ids_old"), ids_new.alias("ids_new"))
+
+    def keyed(a: Column, t: Column, sample: Column, spec: Column) -> Column:
+        present = lambda ways: F.coalesce(F.get(F.filter(ways, lambda w: step_into(sample, w).isNotNull()), F.lit(0)), F.get(ways, F.lit(0)))
+        fields = lambda keys: F.array_join(F.transform(keys, lambda ways: F.array_join(present(ways), "/")), ",")
+
+        def first_keys(number: Column) -> Column:
+            one = lambda v: F.when(number.isNull(), _keys_of(v, spec)).otherwise(_rule_keys(v, number, rules)) if rules else _keys_of(v, spec)
+            return F.struct(*[F.transform(a[side], one).alias(side) for side in ("old", "new")])
+
+        def widened(own: Column, more: Column) -> Column:
+            keys = F.concat(spec, more)
+
+            def cut(full: Column) -> Column:
+                first = lambda side, level: F.transform(full[side], lambda k: F.slice(k, 1, level))
+                level = F.greatest(longest_start(full["old"]) + 1, longest_start(full["new"]) + 1, F.size(spec))
+                return let(level, lambda n: F.when(n > F.size(keys), told(t, "unkeyed")).otherwise(told(t, "keyed", fields(F.slice(keys, 1, n)), first("old", n), first("new", n))))
+
+            return let(F.struct(*[F.zip_with(own[side], F.transform(a[side], lambda v: _keys_of(v, more)), lambda x, y: F.concat(x, y)).alias(side) for side in ("old", "new")]), cut)
+
+        def narrow(own: Column) -> Column:
+            wide = let(F.array_except(scalar_paths(sample), spec), lambda more: widened(own, more))
+            return F.when(unique(own["old"]) & unique(own["new"]), told(t, "keyed", fields(spec), own["old"], own["new"])).otherwise(wide)
+
+        return let(_rule_of(sample, rules), lambda number: let(first_keys(number), narrow))
+
+    def judge(a: Column, t: Column) -> Column:
+        # The first letter of a JSON text tells objects and arrays from anything else.
+        is_kind = lambda x, *kinds: F.coalesce(F.substring(x, 1, 1), F.lit("n")).isin(*kinds)
+        both = lambda test: F.forall(t["old"], test) & F.forall(t["new"], test)
+        alike = F.size(t["old"]) == F.size(t["new"])
+        in_place = F.when(alike, "positional").otherwise("unkeyed")
+        by_keys = lambda sample: let(identity(sample, rules), lambda spec: F.when(spec.isNotNull(), keyed(a, t, sample, spec)).otherwise(told(t, in_place)))
+        return (
+            F.when(both(lambda x: ~is_kind(x, "{", "[")), told(t, "set"))
+            .when(both(lambda x: is_kind(x, "[")), told(t, in_place))
+            .when(both(lambda x: is_kind(x, "{")), let(F.coalesce(F.get(a["old"], F.lit(0)), F.get(a["new"], F.lit(0))), by_keys))
+            .otherwise(told(t, "unkeyed"))
+        )
+
+    def differ(a: Column) -> Column:
+        return let(F.struct(texts(a["old"]).alias("old"), texts(a["new"]).alias("new")), lambda t: F.when(t["old"].isNotNull() & t["new"].isNotNull() & ~t["old"].eqNullSafe(t["new"]), judge(a, t)))
+
+    return let(F.struct(old.alias("old"), new.alias("new")), differ)
+
+
+def _paired(j: Column, lined: Column) -> Column:
+    """The element pairs of arrays as ``_judged`` told them: array of struct id, index_from, index_to, from, to."""
+
+    def row(told: Column, i: Column, k: Column, was: Column, now: Column) -> Column:
+        return F.struct(told.alias("id"), i.cast("int").alias("index_from"), k.cast("int").alias("index_to"), was.alias("from"), now.alias("to"))
+
+    def sided(side: str, number: int) -> Column:
+        own = lambda t, i: F.coalesce(F.get(j[f"ids_{side}"], i), F.array(t))
+        return F.transform(j[side], lambda t, i: F.struct(own(t, i).alias("id"), F.lit(number).alias("side"), i.alias("at"), t.alias("text")))
+
+    def of_run(run: Column) -> Column:
+        """Of one id's elements, the old ones first, the k-th old one and the k-th new one are a pair."""
+
+        def each(n: Column) -> Column:
+            pair = lambda k: F.struct(F.get(run, F.when(k < n, k)).alias("a"), F.get(run, n + k).alias("b"))
+            told = lambda p: row(F.get(run, F.lit(0))["id"], p["a"]["at"], p["b"]["at"], p["a"]["text"], p["b"]["text"])
+            return F.transform(F.sequence(F.lit(0), F.greatest(n, F.size(run) - n) - 1), lambda k: let(pair(k), told))
+
+        return let(F.size(F.filter(run, lambda e: e["side"] == 0)), each)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda e, i: F.when((i == 0) | ~e["id"].eqNullSafe(F.get(s, i - 1)["id"]), i)), lambda i: i.isNotNull())
+        run = lambda b, at: F.slice(s, b + 1, F.coalesce(F.get(at["starts"], at["i"] + 1), F.size(s)) - b)
+        return let(starts, lambda st: F.flatten(F.transform(st, lambda b, i: let(run(b, {"starts": st, "i": i}), of_run))))
+
+    by_place = F.transform(j["old"], lambda t, i: row(F.array(i.cast("string")), i, i, t, F.get(j["new"], i)))
+    in_line = F.transform(lined, lambda m: let(F.struct(F.get(j["old"], m["i"]).alias("a"), F.get(j["new"], m["j"]).alias("b")), lambda p: row(F.array(F.coalesce(p["a"], p["b"])), m["i"], m["j"], p["a"], p["b"])))
+    by_id = let(F.sort_array(F.concat(sided("old", 0), sided("new", 1))), runs)
+    return F.when(j["strategy"] == "positional", by_place).when(j["strategy"] == "unkeyed", in_line).otherwise(by_id)
 
 
 def array_pairs(pairs: DataFrame, key: str, path: str, rules: list = IDENTITIES, most_cells: int | None = 250_000) -> DataFrame:
@@ -189,36 +285,22 @@ def array_pairs(pairs: DataFrame, key: str, path: str, rules: list = IDENTITIES,
     arrays are equal, or missing on a side, have no rows. Scalars are paired as a multiset; arrays of arrays of
     one length, and objects of one length that nothing identifies, by place; objects by their keys, which are
     widened by further scalars until no two elements of a side share them. Anything else is aligned
-    in order (``most_cells`` as in ``aligned``, None for any size). There is one shuffle, by record.
+    in order (``most_cells`` as in ``aligned``, None for any size). A record's arrays stand in its own row and are
+    compared there, so nothing is shuffled or sorted across rows.
     """
-    parts = _elements(pairs, key, path, rules).repartition(F.col(key))
-    value_at = lambda v, ways: F.get(F.filter(F.transform(ways, lambda w: step_into(v, w)), lambda x: x.isNotNull()), F.lit(0))
-    parts = parts.withColumn("text", F.to_json("v")).withColumn("full", F.transform("widened", lambda ways: F.coalesce(matching_text(value_at(F.col("v"), ways)), F.lit("null"))))
-    # In order of the full keys, neighbours have the longest common start of all pairs.
-    before = F.lag("full").over(Window.partitionBy(key, "side").orderBy("full"))
-    shared = F.array_position(F.zip_with(F.col("full"), before, lambda a, b: a != b), True)
-    shared = F.when(before.isNull(), 0).when(shared == 0, F.size("full")).otherwise(shared - 1)
-    level = F.greatest(F.max("shared").over(Window.partitionBy(key)) + 1, F.col("base")).cast("int")
-    parts = parts.withColumn("shared", shared).withColumn("level", level)
-    parts = parts.withColumn("strategy", F.when((F.col("strategy") == "keyed") & (F.col("level") > F.size("full")), "unkeyed").otherwise(F.col("strategy")))
-    told = F.when(F.col("strategy") == "keyed", F.slice("full", 1, F.col("level"))).when(F.col("strategy") == "positional", F.array(F.col("at").cast("string"))).otherwise(F.array("text"))
-    copy = F.when(F.col("strategy") == "set", F.row_number().over(Window.partitionBy(key, "side", "text").orderBy("at"))).otherwise(F.lit(1))
-    parts = parts.select(key, "strategy", F.when(F.col("strategy") == "keyed", F.array_join(F.slice("names", 1, F.col("level")), ",")).alias("key_fields"), told.alias("id"), copy.alias("copy"), "side", "at", "text")
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    met = parts.where("strategy != 'unkeyed'").groupBy(key, "strategy", "key_fields", "id", "copy").agg(of("old", "at").alias("index_from"), of("new", "at").alias("index_to"), of("old", "text").alias("from"), of("new", "text").alias("to"))
+    sides = [F.try_variant_get(F.col(s), f"$['{path}']", "array<variant>") for s in ("old", "new")]
+    judged = pairs.select(F.col(key), _judged(*sides, rules).alias("j"))
 
     @F.pandas_udf("array<struct<i:int,j:int>>")
     def in_order(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([_matched(list(x), list(y), most_cells) for x, y in zip(a, b, strict=True)])
 
-    texts = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "text")))), lambda e: e["text"])
-    sides = parts.where("strategy = 'unkeyed'").groupBy(key).agg(texts("old").alias("old"), texts("new").alias("new"))
-    lined = sides.withColumn("m", in_order("old", "new")).select(key, "old", "new", F.explode("m").alias("m"))
-    lined = lined.select(key, F.col("m.i").alias("index_from"), F.col("m.j").alias("index_to"), F.expr("get(old, m.i)").alias("from"), F.expr("get(new, m.j)").alias("to"))
-    lined = lined.select(key, F.lit("unkeyed").alias("strategy"), F.lit(None).cast("string").alias("key_fields"), F.array(F.coalesce("from", "to")).alias("id"), "index_from", "index_to", "from", "to")
+    unkeyed = lambda side: F.when(F.col("j.strategy") == "unkeyed", F.col(f"j.{side}")).otherwise(F.array().cast("array<string>"))
+    lined = judged.withColumn("m", in_order(unkeyed("old"), unkeyed("new")))
+    met = lined.select(key, F.col("j.strategy").alias("strategy"), F.col("j.key_fields").alias("key_fields"), F.inline(_paired(F.col("j"), F.col("m"))))
     status = F.when(F.col("index_to").isNull(), "removed").when(F.col("index_from").isNull(), "added").when((F.col("from") != F.col("to")) & (F.col("strategy") != "unkeyed"), "changed").otherwise("same")
-    return met.drop("copy").unionByName(lined).withColumn("status", status)
+    return met.withColumn("status", status)
 
 
 def _matched(a: list[str], b: list[str], most_cells: int | None) -> list[dict]:

@@ -147,3 +147,9 @@ def test_lines_in_order(spark, sf_dir):
             continue
         same = sum(r["status"] == "same" for r in got[key])
         assert same == _longest(old, new) and len(got[key]) == len(old) + len(new) - same
+
+
+def test_pairs_stay_in_their_row(spark):
+    frame = arrays.array_pairs(bodies(spark, [(1, [{"Perk": "0x1", "Rank": 1}], [{"Perk": "0x1", "Rank": 2}])]), "k", "x")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan.replace("sort_array", "")
