@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrec.session import write_through
@@ -43,26 +43,39 @@ def walk_statistics(rows: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return rows.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
+def span(rows: DataFrame, column: str) -> Column:
+    """Whether a column named ``column`` lies between the least and the greatest value that ``rows`` has of it.
+
+    Ids of a type lie together, so this leaves out most edges that a join with ``rows`` would drop, before they are shuffled.
+    """
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    return F.lit(False) if low is None else F.col(column).between(low, high)
+
+
 def path_hops(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFrame:
     """from_id, to_id, hops of each pair: least number of references from one to the other, null beyond ``most``.
 
     Walks forward from the distinct starts and back from the distinct ends, half the hops each, and
-    joins the pairs where the walks meet.
+    joins the pairs where the walks meet. Edges outside the span of a hop's front are left out before its join; those of
+    the last hop back also if they lead outside the span of what the walk forward reached.
     """
 
-    def reach(end: str, here: str, there: str, hops: int) -> DataFrame:
-        front = pairs.select(end, F.col(end).alias("node")).distinct()
-        levels = front.withColumn("d", F.lit(0).cast("long"))
+    def reach(end: str, here: str, there: str, hops: int, met: DataFrame | None = None) -> DataFrame:
+        front = levels = write_through(pairs.select(end, F.col(end).alias("node")).distinct().withColumn("d", F.lit(0).cast("long")), "path-hop")
         for hop in range(1, hops + 1):
-            step = front.join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").select(end, F.col("next").alias("node")).distinct()
-            front = write_through(step.join(levels, [end, "node"], "left_anti"), "path-hop")
-            levels = levels.unionByName(front.withColumn("d", F.lit(hop).cast("long")))
+            near = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).where(span(front, "node"))
+            if met is not None and hop == most // 2:
+                near = near.where(span(met.select(F.col("node").alias("next")), "next"))
+            step = front.join(near, "node").select(end, F.col("next").alias("node")).distinct()
+            new = step.join(levels, [end, "node"], "left_anti").withColumn("d", F.lit(hop).cast("long"))
+            front = write_through(new, "path-hop")
             if front.isEmpty():
                 break
+            levels = levels.unionByName(front)
         return levels
 
     ahead = reach("from_id", "src", "dst", (most + 1) // 2)
-    back = reach("to_id", "dst", "src", most // 2).withColumnRenamed("d", "e")
+    back = reach("to_id", "dst", "src", most // 2, ahead).withColumnRenamed("d", "e")
     met = pairs.distinct().join(ahead, "from_id").join(back, ["to_id", "node"]).groupBy("from_id", "to_id").agg(F.min(F.col("d") + F.col("e")).alias("hops"))
     return pairs.join(met, ["from_id", "to_id"], "left")
 

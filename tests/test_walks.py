@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from loomrec.operators import graph as graph_operators
 from loomrec.operators import listings, lookup, odds, walks
 from loomrec.plans import walk_queries
 
@@ -77,6 +78,25 @@ def test_shortest_paths_against_brute_force(spark):
             assert got[a, b] == ((best[b][0] - 1, best[b][1]) if b in best else (None, None))
 
 
+def test_hops_leave_out_edges_that_cannot_join(spark):
+    rows = spark.createDataFrame([(5,), (9,)], "node long")
+    kept = spark.range(20).withColumnRenamed("id", "node")
+    assert [r["node"] for r in kept.where(graph_operators.span(rows, "node")).orderBy("node").collect()] == list(range(5, 10))
+    assert kept.where(graph_operators.span(rows.limit(0), "node")).count() == 0
+    rnd = random.Random(9)
+    links = graph(rnd, 30, 55)
+    pairs = sorted({(rnd.randrange(30), rnd.randrange(30)) for _ in range(120)})
+    for most in (1, 4, 12):
+        got = {(r["from_id"], r["to_id"]): r["hops"] for r in graph_operators.path_hops(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame(pairs, "from_id long, to_id long"), most).collect()}
+        for a, b in pairs:
+            depth, front, seen = 0, {a}, {a}
+            while b not in front and front and depth < most:
+                front = {y for x, y in links if x in front} - seen
+                seen |= front
+                depth += 1
+            assert got[a, b] == (depth if b in front else None)
+
+
 def test_live_referencers(spark):
     edges = spark.createDataFrame([(1, "A", 2), (2, "B", 3), (3, "B", 4), (4, "B", 5), (5, "B", 6), (9, "B", 8), (6, "B", 6)], "src long, src_sig string, dst long")
     ids = spark.createDataFrame([(k,) for k in range(2, 9)], "form_id long")
