@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrec.operators.graph import top_per_group
+from loomrec.operators.graph import span, top_per_group
 from loomrec.operators.lookup import ranked_page
 from loomrec.session import write_through
 
@@ -58,24 +58,26 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 12) -> DataFr
     """from_id, to_id, hops, path of each distinct pair: the least of its shortest paths as an array of ids; null beyond ``most`` hops.
 
     Half the hops are walked from the starts and half back from the ends, and the pairs are joined
-    where the walks meet; a walk keeps one path for each start and node.
+    where the walks meet; a walk keeps one path for each start and node. Edges are left out beforehand as in ``graph.path_hops``.
     """
 
-    def reach(end: str, here: str, there: str, hops: int, trail) -> DataFrame:
+    def reach(end: str, here: str, there: str, hops: int, trail, met: DataFrame | None = None) -> DataFrame:
         front = pairs.select(end, F.col(end).alias("node"), F.array(end).alias("trail")).distinct()
-        levels = write_through(front.withColumn("d", F.lit(0).cast("long")), "paths")
-        front = levels
+        front = levels = write_through(front.withColumn("d", F.lit(0).cast("long")), "paths")
         for hop in range(1, hops + 1):
-            step = front.drop("d").join(edges.select(F.col(here).alias("node"), F.col(there).alias("next")), "node").select(end, F.col("next").alias("node"), trail.alias("trail"))
+            near = edges.select(F.col(here).alias("node"), F.col(there).alias("next")).where(span(front, "node"))
+            if met is not None and hop == most // 2:
+                near = near.where(span(met.select(F.col("node").alias("next")), "next"))
+            step = front.drop("d").join(near, "node").select(end, F.col("next").alias("node"), trail.alias("trail"))
             new = step.groupBy(end, "node").agg(F.min("trail").alias("trail")).join(levels.select(end, "node"), [end, "node"], "left_anti").withColumn("d", F.lit(hop).cast("long"))
             front = write_through(new, "path-hop")
             if front.isEmpty():
                 break
-            levels = write_through(levels.unionByName(front), "paths", drop=(levels,))
+            levels = levels.unionByName(front)
         return levels
 
     ahead = reach("from_id", "src", "dst", (most + 1) // 2, F.array_append("trail", F.col("next")))
-    back = reach("to_id", "dst", "src", most // 2, F.array_prepend("trail", F.col("next"))).withColumnsRenamed({"d": "e", "trail": "rest"})
+    back = reach("to_id", "dst", "src", most // 2, F.array_prepend("trail", F.col("next")), ahead).withColumnsRenamed({"d": "e", "trail": "rest"})
     whole = F.struct((F.col("d") + F.col("e")).alias("hops"), F.concat("trail", F.slice("rest", 2, F.size("rest"))).alias("path"))
     met = pairs.distinct().join(ahead, "from_id").join(back, ["to_id", "node"]).groupBy("from_id", "to_id").agg(F.min(whole).alias("w"))
     return pairs.distinct().join(met, ["from_id", "to_id"], "left").select("from_id", "to_id", "w.hops", "w.path")
