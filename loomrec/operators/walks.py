@@ -89,12 +89,21 @@ def consumers_by_type(edges: DataFrame, targets: DataFrame, most: int = 25) -> D
     return top_per_group(near, ["target", "src_sig"], ["src"], most)
 
 
+def marked_edges(edges: DataFrame, universe: DataFrame) -> DataFrame:
+    """The edges from records of ``universe`` (form_id), with inside: whether their targets are of it too.
+
+    The ids are written to the shared folder first, so what they come from is worked out once.
+    """
+    ids = write_through(universe.select("form_id").distinct(), "universe")
+    own = edges.join(ids.withColumnRenamed("form_id", "src"), "src", "left_semi")
+    to = ids.select(F.col("form_id").alias("dst"), F.lit(True).alias("inside"))
+    return own.join(to, "dst", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
 def split_edges(edges: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(inside, context): the edges from records of ``universe`` (form_id), by whether their targets are of it too."""
-    ids = universe.select("form_id").distinct()
-    own = edges.join(ids.withColumnRenamed("form_id", "src"), "src", "left_semi")
-    to = ids.withColumnRenamed("form_id", "dst")
-    return own.join(to, "dst", "left_semi"), own.join(to, "dst", "left_anti")
+    marked = marked_edges(edges, universe)
+    return marked.where("inside").drop("inside"), marked.where("not inside").drop("inside")
 
 
 def incidence(context: DataFrame, members: DataFrame) -> DataFrame:

@@ -81,8 +81,7 @@ UNIVERSE = f"WITH edges AS ({edges_sql()}), {PAIR}, u AS (SELECT coalesce(a.form
 
 @query(UNIVERSE + " SELECT src, dst, CASE WHEN dst IN (SELECT form_id FROM u) THEN 'inside' ELSE 'context' END AS kind FROM o")
 def edge_split(spark, d):
-    inside, context = walks.split_edges(edges(spark, d), _universe(spark, d))
-    return inside.select("src", "dst", F.lit("inside").alias("kind")).union(context.select("src", "dst", F.lit("context")))
+    return walks.marked_edges(edges(spark, d), _universe(spark, d)).select("src", "dst", F.when(F.col("inside"), "inside").otherwise("context").alias("kind"))
 
 
 @query(UNIVERSE + f" SELECT dst AS context, src // {BASE} AS bundle, count(DISTINCT src) AS n FROM o WHERE dst NOT IN (SELECT form_id FROM u) GROUP BY ALL")

@@ -150,3 +150,24 @@ def test_memberships(spark):
     rows = [(1, [1, 1, 2], [2, 3]), (2, [5], [5, 5]), (3, [], [1]), (4, [None, 1], [1])]
     got = {r["k"]: (r["removed"], r["added"]) for r in listings.membership_changes(spark.createDataFrame(rows, "k int, old array<int>, new array<int>"), "k").collect()}
     assert got == {1: ([1], [3]), 3: ([], [1]), 4: ([None], [])}
+
+
+def test_the_universe_is_worked_out_once(spark, sf_dir):
+    plan = walk_queries.edge_split(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FullOuter" not in plan
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 1), (2, 1), (3, 1)], "src long, dst long")
+    inside, context = walks.split_edges(edges, spark.createDataFrame([(1,), (2,), (2,)], "form_id long"))
+    assert sorted(map(tuple, inside.select("src", "dst").collect())) == [(1, 2), (2, 1), (2, 1)] and list(map(tuple, context.select("src", "dst").collect())) == [(1, 3)]
+
+
+def test_leaves_of_four_levels_are_one_job(spark, monkeypatch):
+    written = []
+    real = lookup.write_through
+    monkeypatch.setattr(lookup, "write_through", lambda *a, **b: written.append(real(*a, **b)) or written[-1])
+    text = '{"a": [{"b": {"c": 1}, "d": {}, "e": [], "f": null}], "g": "0x1", "h": {"formid": "0x2"}}'
+    body = spark.createDataFrame([(1, text)], "id int, t string").select("id", F.parse_json("t").alias("body"))
+    told = lambda rows: sorted((r["path"], r["j"]) for r in rows.select("path", F.to_json("leaf").alias("j")).collect())
+    assert told(lookup.leaves(body, "id", "body")) == [("a[].b.c", "1"), ("a[].f", "null"), ("g", '"0x1"'), ("h.formid", '"0x2"')] and len(written) == 1
+    assert told(lookup.leaves(body, "id", "body", lambda v: F.try_variant_get(v, "$.formid", "variant").isNotNull(), lambda v: F.to_json(v).contains("0x"))) == [("g", '"0x1"'), ("h", '{"formid":"0x2"}')]
+    deep = spark.createDataFrame([(1, '{"a": ' * 9 + "[7]" + "}" * 9)], "id int, t string").select("id", F.parse_json("t").alias("body"))
+    assert told(lookup.leaves(deep, "id", "body")) == [(".".join("a" * 9) + "[]", "7")]
