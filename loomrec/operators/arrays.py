@@ -71,9 +71,14 @@ def is_scalar(value: Column) -> Column:
     return ~F.coalesce(kind_of(value), F.lit("V")).isin("O", "A")
 
 
+def has_field(value: Column, name: str) -> Column:
+    """Whether a variant is an object with a field of that name, be it a JSON null."""
+    return F.try_variant_get(value, f"$['{name}']", "variant").isNotNull()
+
+
 def is_reference(value: Column) -> Column:
     """A text like 0x..., or an object with a formid."""
-    return F.coalesce(F.try_variant_get(value, "$", "string").startswith("0x"), F.lit(False)) | F.map_contains_key(members(value), "formid")
+    return F.coalesce(F.try_variant_get(value, "$", "string").startswith("0x"), F.lit(False)) | has_field(value, "formid")
 
 
 def matching_text(value: Column) -> Column:
@@ -352,9 +357,8 @@ def change_entries(pairs: DataFrame, key: str) -> DataFrame:
 
 def references_out(rows: DataFrame, key: str, body: str) -> DataFrame:
     """key, path, form_id: every reference text in a body with where it stands, once; what is raw or unresolved is left out."""
-    closed = lambda v: F.exists(F.map_keys(members(v)), lambda n: n.isin("_raw", "_unresolved", "formid"))
-    found = leaves(rows, key, body, closed)
-    skipped = F.exists(F.map_keys(members(F.col("leaf"))), lambda n: n.isin("_raw", "_unresolved"))
-    own = F.try_element_at(members(F.col("leaf")), F.lit("formid"))
+    skipped = lambda v: has_field(v, "_raw") | has_field(v, "_unresolved")
+    own = F.try_variant_get("leaf", "$.formid", "variant")
+    found = leaves(rows, key, body, lambda v: skipped(v) | has_field(v, "formid"), lambda v: ~skipped(v) & is_reference(v))
     text = F.try_variant_get(F.coalesce(own, F.col("leaf")), "$", "string")
-    return found.where(~skipped & is_reference(F.col("leaf"))).select(key, "path", text.alias("form_id")).distinct()
+    return found.select(key, "path", text.alias("form_id")).distinct()

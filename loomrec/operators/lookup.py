@@ -129,26 +129,38 @@ def filter_path(rows: DataFrame, body: str, path: str, op: str, operand: str = "
     return rows.where(F.exists(at_path(F.col(body), path), lambda v: value_test(v, op, operand)))
 
 
-def leaves(rows: DataFrame, key: str, body: str, whole: Callable[[Column], Column] | None = None) -> DataFrame:
+#: Levels of a body that one job takes apart.
+LEVELS = 4
+
+
+def leaves(rows: DataFrame, key: str, body: str, whole: Callable[[Column], Column] | None = None, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """key, path, leaf (variant): every scalar of a variant body; array elements have [] in the path.
 
-    Containers that ``whole`` holds for are leaves, too.
+    Containers that ``whole`` holds for are leaves, too. Where ``wanted`` is given, only leaves that it holds for are kept.
 
-    Level by level: what is a container is exploded again, until none is left. Levels are written to
-    the shared folder, so there are as many jobs as the deepest body has levels, of any size.
+    What is a container is exploded again, four levels in one job; what is still a container then is
+    the next job's input. Jobs' results are written to the shared folder, each leaf once, so bodies have any depth.
     """
     spark = rows.sparkSession
-    front, found = rows.select(F.col(key), F.lit("").alias("path"), F.col(body).alias("v")).where("v is not null"), None
+    front, found = rows.select(F.col(key), F.lit("").alias("path"), F.col(body).alias("v"), F.lit(True).alias("open")).where("v is not null"), None
     inner = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+    still_open = ~F.coalesce(whole(F.col("value")), F.lit(False)) if whole is not None else F.lit(True)
+    container = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    child = F.col("value").isNotNull()
     while True:
-        opened = front.withColumnRenamed(key, "_id").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        level = opened.select(F.col("_id").alias(key), inner.alias("path"), F.col("value").alias("v")).withColumn("inside", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        if whole is not None:
-            level = level.withColumn("inside", F.col("inside") & ~F.coalesce(whole(F.col("v")), F.lit(False)))
-        level = write_through(level, "leaves")
-        own = level.where("not inside").select(key, "path", F.col("v").alias("leaf"))
+        level = front
+        for n in range(LEVELS):
+            # The front are containers. Later a scalar, and what is known as a leaf, passes as its one row, without a child.
+            explode = spark.tvf.variant_explode_outer if n else spark.tvf.variant_explode
+            opened = level.withColumnRenamed(key, "_id").lateralJoin(explode(F.when(F.col("open"), F.col("v")).outer()))
+            if n:
+                opened = opened.where(child | ~F.col("open") | ~container)
+            level = opened.select(F.col("_id").alias(key), F.when(child, inner).otherwise(F.col("path")).alias("path"), F.coalesce("value", "v").alias("v"), F.when(child, still_open).otherwise(F.lit(False)).alias("open"))
+        level = level.withColumn("open", F.col("open") & container)
+        level = write_through(level if wanted is None else level.where(F.col("open") | wanted(F.col("v"))), "leaves")
+        own = level.where("not open").select(key, "path", F.col("v").alias("leaf"))
         found = own if found is None else found.unionByName(own)
-        front = level.where("inside").select(key, "path", "v")
+        front = level.where("open")
         if front.isEmpty():
             return found
 
