@@ -333,13 +333,16 @@ def change_entries(pairs: DataFrame, key: str) -> DataFrame:
     """
 
     def whole(value: Column) -> Column:
-        names = F.map_keys(members(value))
-        return (kind_of(value) == "A") | F.exists(names, lambda n: n.isin("_raw", "formid", "flags", "_unresolved")) | (F.size(F.array_intersect(names, F.array(F.lit("value"), F.lit("name")))) == 2)
-
-    differing = pairs.where("not (to_json(old) <=> to_json(new))")
-    sides = [leaves(differing, key, side, whole).where(kind_of(F.col("leaf")) != "V").select(key, "path", F.col("leaf").alias(side)) for side in ("old", "new")]
+        named = reduce(or_, [has_field(value, name) for name in ("_raw", "formid", "flags", "_unresolved")])
+        return (kind_of(value) == "A") | named | (has_field(value, "value") & has_field(value, "name"))
+
+    # Both sides are one array, so that a record's bodies are worked out, compared and taken apart once.
+    bodies = let(F.struct("old", "new"), lambda b: F.when(~F.to_json(b["old"]).eqNullSafe(F.to_json(b["new"])), F.transform(F.array(b["old"], b["new"]), lambda v, i: F.struct(i.alias("side"), v.alias("body")))))
+    each = pairs.select(key, F.inline(bodies)).select(F.struct(F.col(key).alias("key"), "side").alias("_of"), "body")
+    found = leaves(each, "_of", "body", whole, lambda v: ~F.is_variant_null(v))
+    sides = [found.where(F.col("_of.side") == i).select(F.col("_of.key").alias(key), "path", F.col("leaf").alias(side)) for i, side in enumerate(("old", "new"))]
     rows = sides[0].join(sides[1], [key, "path"], "full_outer").where("not (to_json(old) <=> to_json(new))")
-    has = lambda side, name: F.map_contains_key(members(F.col(side)), name)
+    has = lambda side, name: has_field(F.col(side), name)
     either = lambda test: F.coalesce(test("old"), F.lit(False)) | F.coalesce(test("new"), F.lit(False))
     every = lambda test: F.coalesce(F.when(F.col("old").isNull(), True).otherwise(test("old")), F.lit(False)) & F.coalesce(F.when(F.col("new").isNull(), True).otherwise(test("new")), F.lit(False))
     text = lambda side: F.schema_of_variant(side) == "STRING"

@@ -90,7 +90,9 @@ def change_entries(spark, d):
         f"struct(if(p_partkey % 2 = 0, upper(p_name), p_name) as Name, struct(cast(p_size as int) + if(p_partkey % 3 = 0, 1, 0) as Size, {kind} as Kind) as Data, struct(if(p_partkey % 7 = 0, array('a', 'b'), array('a')) as flags) as Set,"
         " if(p_partkey % 4 = 0, '0x0', concat('0x', hex(p_size))) as Maker, if(p_partkey % 6 = 0, array(cast(p_size as int), 1), array(cast(p_size as int))) as Sizes)"
     )
-    bodies = table(spark, d, "part").select("p_partkey", *[F.to_variant_object(F.expr(e)).alias(s) for s, e in (("old", was), ("new", now))])
+    # The table is small beside its bodies, so few tasks would read it; bodies are made where its rows are dealt to.
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition("p_partkey")
+    bodies = rows.select("p_partkey", *[F.to_variant_object(F.expr(e)).alias(s) for s, e in (("old", was), ("new", now))])
     return arrays.change_entries(bodies, "p_partkey")
 
 

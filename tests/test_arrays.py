@@ -153,3 +153,13 @@ def test_pairs_stay_in_their_row(spark):
     frame = arrays.array_pairs(bodies(spark, [(1, [{"Perk": "0x1", "Rank": 1}], [{"Perk": "0x1", "Rank": 2}])]), "k", "x")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan.replace("sort_array", "")
+
+
+def test_change_entries_take_bodies_apart_once(spark, monkeypatch):
+    jobs = []
+    real = arrays.leaves
+    monkeypatch.setattr(arrays, "leaves", lambda *a, **b: jobs.append(1) or real(*a, **b))
+    rows = [(1, '{"a": {"b": 1}, "c": null, "e": [1]}', '{"a": {"b": 2}, "c": null, "e": []}'), (2, '{"a": 1}', '{"a": 1}'), (3, '{"a": 1}', '{"d": {"formid": "0x1"}}')]
+    got = sorted(map(tuple, arrays.change_entries(bodies(spark, rows), "k").select("k", "path", "kind", "from", "to").collect()))
+    assert got == [(1, "a.b", "scalar", "1", "2"), (1, "e", "array", "[1]", "[]"), (3, "a", "scalar", "1", None), (3, "d", "formid", None, '{"formid":"0x1"}')]
+    assert len(jobs) == 1
