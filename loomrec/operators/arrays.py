@@ -47,7 +47,7 @@ def members(value: Column) -> Column:
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, then)
 
 
 def step_into(value: Column, path: Column) -> Column:
