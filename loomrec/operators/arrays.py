@@ -57,7 +57,7 @@ def step_into(value: Column, path: Column) -> Column:
 
 def _known(value: Column) -> Column:
     """A variant, null if it is a JSON null."""
-    return F.get(F.filter(F.array(value), lambda v: ~F.is_variant_null(v)), F.lit(0))
+    return let(value, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def _keys_of(value: Column, keys: Column) -> Column:
