@@ -7,10 +7,12 @@ similarity closely. The steps:
 
 1. Exact copies of the word sequence, by its SHA-256 as a content address, are one row from here on, the one of least doc_id.
 2. Rows that share a band key are candidates. Within a bucket the sketches are compared, from one
-   row on to those not reached yet, so a bucket of n rows gives at most n - 1 candidate links.
+   row on to those not reached yet, and rows reached from one another hang on the least of them, so
+   a bucket of n rows gives at most n - 1 candidate links.
 3. Connected candidates form clusters. Within a cluster the full sets are compared, again from one
-   row on to those not reached yet, through a table of shingles; links are kept at
-   100 * intersection >= similarity * union. A candidate link alone is never believed.
+   row on to those not reached yet, through a table of shingles; a row is reached at
+   100 * intersection >= similarity * union. A candidate link alone is never believed. What is reached
+   hangs on its least row again, so a cluster that one task compared needs no further round.
 4. Documents connected by confirmed links are one component.
 
 Buckets and clusters of more than ``BLOCK`` rows (or ``HEAVY`` shingles) are dealt in blocks: each pair of blocks is one
@@ -147,13 +149,17 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"loc": batch["loc"], "doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [r[0] for r in rows], "sequence": [r[1] for r in rows], "sketch": [r[2] for r in rows], "bands": [r[3] for r in rows]})
 
 
-def _blocked(rows: DataFrame, group: str, name: str, weight: str | None = None) -> DataFrame:
-    """Adds low and high: a group of up to BLOCK rows (and HEAVY of summed weight) is one part; beyond, each row is in one part for each pair of its block with another."""
+def _sized(rows: DataFrame, group: str, weight: str | None = None) -> DataFrame:
+    """Each group of two rows or more with n rows and the blocks it is dealt in, as a scratch table."""
     need = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(weight if weight else F.lit(0)) / HEAVY), F.lit(1))
-    sizes = rows.groupBy(group).agg(need.cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return write_through(rows.groupBy(group).agg(need.cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+
+
+def _blocked(rows: DataFrame, sizes: DataFrame, group: str, name: str, total: int) -> DataFrame:
+    """Adds low and high: a group of up to BLOCK rows (and HEAVY of summed weight) is one part; beyond, each row is in one part for each pair of its block with another."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     mine = F.pmod(F.xxhash64(name), "blocks").cast("int")
-    joined = spread_join(rows, sizes, group, "n", rows.agg(F.count(F.lit(1))).scalar())
+    joined = spread_join(rows, sizes, group, "n", F.lit(total))
     return joined.select(*rows.columns, mine.alias("mine"), other).select(*rows.columns, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
 
 
@@ -184,34 +190,33 @@ def _linked(rows: pd.DataFrame, starts: np.ndarray, links) -> pd.DataFrame:
     return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
 
 
-def _spanning(n: int, near) -> list[tuple[int, int]]:
-    """Links found from one row on to those not reached yet; near(i, rest) marks which of rest are linked to i."""
-    left = np.arange(n)
-    links, queue = [], []
-    while len(left) or queue:
-        if not queue:
-            queue, left = [left[0]], left[1:]
-        i = queue.pop()
-        if len(left):
-            hit = near(i, left)
-            links += [(i, j) for j in left[hit]]
-            queue += list(left[hit])
+def _stars(rids: np.ndarray, near) -> list[tuple[int, int]]:
+    """The least row of those reached from one another, with each other one; near(i, rest) marks which of rest are linked to i."""
+    left, links = np.arange(len(rids)), []
+    while len(left):
+        reached, left, k = [left[0]], left[1:], 0
+        while k < len(reached) and len(left):
+            hit = near(reached[k], left)
+            reached += list(left[hit])
             left = left[~hit]
+            k += 1
+        first, *others = sorted(int(rids[i]) for i in reached)
+        links += [(first, other) for other in others]
     return links
 
 
 def _candidates(rids: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of one bucket that the sketches let pass."""
+    """Rows of one bucket that the sketches let pass, as stars."""
     sketches = np.frombuffer(b"".join(values), dtype=np.uint64).reshape(len(rids), -1)
 
     def near(i: int, rest: np.ndarray) -> np.ndarray:
         return estimate(np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1)) >= least
 
-    return [(int(rids[i]), int(rids[j])) for i, j in _spanning(len(rids), near)]
+    return _stars(rids, near)
 
 
 def _confirmed(rids: np.ndarray, values: np.ndarray, similarity: int) -> list[tuple[int, int]]:
-    """Pairs of one cluster whose full sets are similar."""
+    """Rows of one cluster that similar full sets connect, as stars."""
     sets = [shingles(word_hashes(t)) for t in values]
     sizes = np.array([len(s) for s in sets])
     # The table of shingles: for each, the rows that hold it.
@@ -227,7 +232,7 @@ def _confirmed(rids: np.ndarray, values: np.ndarray, similarity: int) -> list[tu
         common = np.bincount(holders[at], minlength=len(sets))[rest]
         return 100 * common >= similarity * (sizes[rest] + sizes[i] - common)
 
-    return [(int(rids[i]), int(rids[j])) for i, j in _spanning(len(rids), near)]
+    return _stars(rids, near)
 
 
 def _components(table: DataFrame, similarity: int) -> DataFrame:
@@ -237,25 +242,28 @@ def _components(table: DataFrame, similarity: int) -> DataFrame:
     # Of copies the first stands for all; an empty set is linked with nothing.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     some = signed.where("sequence is not null")
-    leaders = write_through(some.groupBy("sequence").agg(F.min(rank).alias("first")).withColumn("rid", F.col("first.rid")), "near-leaders")
+    leader = F.min_by(F.struct("loc", "n_shingles", "sketch", "bands"), rank).alias("leader")
+    first = some.groupBy("sequence").agg(F.min(rank).alias("first"), leader)
+    leaders = write_through(first.select("sequence", "first", "first.rid", "leader.*"), "near-leaders")
+    n_leaders = leaders.count()
 
     # Both sides of these joins grow with the input: merge joins at every size, never a broadcast.
-    reps = write_through(signed.join(leaders.select("rid").hint("merge"), "rid", "left_semi").select("rid", "loc", "n_shingles", "sketch", "bands"), "near-reps")
-    keys = reps.select("rid", F.explode("bands").alias("band"))
-    bucketed = _blocked(keys, "band", "rid").join(reps.select("rid", "sketch").hint("merge"), "rid")
-    near = _by_group(bucketed, ["band", "low", "high"], "sketch", partial(_candidates, least=let_pass(similarity))).distinct()
-    candidates = write_through(near, "near-candidates")
+    keys = leaders.select("rid", F.explode("bands").alias("band"))
+    sizes = _sized(keys, "band")
+    bucketed = _blocked(keys, sizes, "band", "rid", BANDS * n_leaders).join(leaders.select("rid", "sketch").hint("merge"), "rid")
+    candidates = write_through(_by_group(bucketed, ["band", "low", "high"], "sketch", partial(_candidates, least=let_pass(similarity))), "near-candidates", drop=(sizes,))
     clusters = connected(candidates)
 
-    weighed = write_through(clusters.withColumnRenamed("node", "rid").join(reps.select("rid", "loc", "n_shingles").hint("merge"), "rid"), "near-clusters", drop=(candidates, clusters, reps))
-    members = _blocked(weighed, "component", "rid", "n_shingles").join(read.select("loc", "text").hint("merge"), "loc").drop("loc")
-    links = write_through(_by_group(members, ["component", "low", "high"], "text", partial(_confirmed, similarity=similarity)), "near-links", drop=(weighed,))
+    weighed = write_through(clusters.withColumnRenamed("node", "rid").join(leaders.select("rid", "loc", "n_shingles").hint("merge"), "rid"), "near-clusters", drop=(candidates, clusters))
+    sizes = _sized(weighed, "component", "n_shingles")
+    members = _blocked(weighed, sizes, "component", "rid", weighed.count()).join(read.select("loc", "text").hint("merge"), "loc").drop("loc")
+    links = write_through(_by_group(members, ["component", "low", "high"], "text", partial(_confirmed, similarity=similarity)), "near-links", drop=(weighed, sizes))
     found = connected(links)
     # Leaders are linked to each other; the least row of a component is the least of its leaders' firsts.
     rooted = leaders.join(found.select(F.col("node").alias("rid"), F.col("component").alias("root")).hint("merge"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     rooted = write_through(rooted.select("sequence", "root", "first"), "near-rooted", drop=(links, found, leaders))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
-    named = write_through(spread_join(rooted.select("root", "sequence"), least, "root", "n", rooted.agg(F.count(F.lit(1))).scalar()).select("sequence", "least"), "near-named", drop=(rooted,))
+    least = write_through(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")), "near-least")
+    named = write_through(spread_join(rooted.select("root", "sequence"), least, "root", "n", F.lit(n_leaders)).select("sequence", "least"), "near-named", drop=(rooted, least))
     shared = some.join(named.hint("merge"), "sequence").select("loc", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("rid") == F.col("least.rid")).alias("kept"))
     alone = signed.where("sequence is null").select("loc", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return write_through(shared.unionByName(alone), "near-result", drop=(named, signed))
