@@ -16,6 +16,17 @@ def snapshot_diff(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> Da
     return left.join(right, key, "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).withColumn("status", status)
 
 
+def changed_keys(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key: those that ``snapshot_diff`` finds, from the rows of both snapshots with sides (1 old, 2 new, 3 both).
+
+    A key is unchanged if it is on both sides with the same fields throughout; a null key is like no other. Rows are
+    shuffled by the key and sorted once, and no list of a key's rows is held.
+    """
+    least, most = F.min(F.struct(*fields)), F.max(F.struct(*fields))
+    each = rows.repartition(key).groupBy(key).agg(F.bit_or("sides").alias("sides"), least.alias("least"), most.alias("most"))
+    return each.where((F.col("sides") != 3) | ~F.col("least").eqNullSafe(F.col("most")) | F.col(key).isNull()).select(key)
+
+
 def field_changes(diff: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, path, from, to of each field that differs in changed rows."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("path"), F.col(f"old.{f}").cast("string").alias("from"), F.col(f"new.{f}").cast("string").alias("to")) for f in fields]))

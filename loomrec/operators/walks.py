@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.operators.graph import span, top_per_group
@@ -89,26 +89,40 @@ def consumers_by_type(edges: DataFrame, targets: DataFrame, most: int = 25) -> D
     return top_per_group(near, ["target", "src_sig"], ["src"], most)
 
 
-def marked_edges(edges: DataFrame, universe: DataFrame) -> DataFrame:
+def marked_edges(edges: DataFrame, universe: DataFrame, once: bool = False) -> DataFrame:
     """The edges from records of ``universe`` (form_id), with inside: whether their targets are of it too.
 
-    The ids are written to the shared folder first, so what they come from is worked out once.
+    Edges have dst, or targets, an array of them, which is taken apart once its record is known to be of the universe.
+    The ids are written to the shared folder first, so what they come from is worked out once. They are distinct, so an
+    inner join keeps an edge once; unlike a semi-join it is one for all tables that edges are the union of.
+    With ``once``, equal edges become one where they lie together by src, and only src and dst are kept.
     """
     ids = write_through(universe.select("form_id").distinct(), "universe")
-    own = edges.join(ids.withColumnRenamed("form_id", "src"), "src", "left_semi")
+    own = edges.join(ids.withColumnRenamed("form_id", "src"), "src")
+    if "targets" in edges.columns:
+        own = own.select("src", F.explode("targets").alias("dst")).where("dst is not null")
+    if once:
+        own = own.select("src", "dst").distinct()
     to = ids.select(F.col("form_id").alias("dst"), F.lit(True).alias("inside"))
     return own.join(to, "dst", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def split_edges(edges: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_edges(edges: DataFrame, universe: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(inside, context): the edges from records of ``universe`` (form_id), by whether their targets are of it too."""
-    marked = marked_edges(edges, universe)
+    marked = marked_edges(edges, universe, once)
     return marked.where("inside").drop("inside"), marked.where("not inside").drop("inside")
 
 
-def incidence(context: DataFrame, members: DataFrame) -> DataFrame:
-    """context, bundle, n: how many members (form_id, bundle) of each bundle reference a record outside."""
-    near = context.select(F.col("dst").alias("context"), F.col("src").alias("form_id")).distinct().join(members, "form_id")
+def incidence(context: DataFrame, members: DataFrame | Column) -> DataFrame:
+    """context, bundle, n: how many members (form_id, bundle) of each bundle reference a record outside.
+
+    ``context`` has an edge once, as ``split_edges`` gives it. Where the bundle follows from the member's id, src,
+    ``members`` is that column, and nothing is joined.
+    """
+    if isinstance(members, Column):
+        near = context.select(F.col("dst").alias("context"), members.alias("bundle"))
+    else:
+        near = context.select(F.col("dst").alias("context"), F.col("src").alias("form_id")).join(members, "form_id")
     return near.groupBy("context", "bundle").agg(F.count(F.lit(1)).alias("n"))
 
 

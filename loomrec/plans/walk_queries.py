@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrec.functions import scalar
-from loomrec.operators import diff, listings, walks
-from loomrec.plans.model import BASE, edges, edges_sql, records, records_sql, second_snapshot, second_sql, table
+from loomrec.operators import diff, graph, listings, walks
+from loomrec.plans.model import BASE, both_snapshots, edges, edges_sql, records, records_sql, references, second_snapshot, second_sql, table
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 PAIR = f"a AS ({records_sql()}), b AS ({second_sql('a')})"
@@ -76,20 +76,24 @@ def _universe(spark, d):
     return diff.snapshot_diff(a, second_snapshot(a), "form_id", ["sig", "name", "value"])
 
 
+def _universe_ids(spark, d):
+    """The form_id of the universe's records, without those (copies of lines above all) that lie outside the span of what edges give."""
+    ends = references(spark, d).select(F.explode(F.concat(F.array("src"), "targets")).alias("form_id"))
+    return diff.changed_keys(both_snapshots(records(spark, d)).where(graph.span(ends, "form_id")), "form_id", ["name", "value"])
+
+
 UNIVERSE = f"WITH edges AS ({edges_sql()}), {PAIR}, u AS (SELECT coalesce(a.form_id, b.form_id) AS form_id FROM a FULL JOIN b ON a.form_id = b.form_id WHERE a.form_id IS NULL OR b.form_id IS NULL OR a.name IS DISTINCT FROM b.name OR a.value IS DISTINCT FROM b.value), o AS (SELECT * FROM edges WHERE src IN (SELECT form_id FROM u))"
 
 
 @query(UNIVERSE + " SELECT src, dst, CASE WHEN dst IN (SELECT form_id FROM u) THEN 'inside' ELSE 'context' END AS kind FROM o")
 def edge_split(spark, d):
-    return walks.marked_edges(edges(spark, d), _universe(spark, d)).select("src", "dst", F.when(F.col("inside"), "inside").otherwise("context").alias("kind"))
+    return walks.marked_edges(references(spark, d), _universe_ids(spark, d)).select("src", "dst", F.when(F.col("inside"), "inside").otherwise("context").alias("kind"))
 
 
 @query(UNIVERSE + f" SELECT dst AS context, src // {BASE} AS bundle, count(DISTINCT src) AS n FROM o WHERE dst NOT IN (SELECT form_id FROM u) GROUP BY ALL")
 def context_incidence(spark, d):
-    universe = _universe(spark, d)
-    _, context = walks.split_edges(edges(spark, d), universe)
-    members = universe.select("form_id", F.floor(F.col("form_id") / BASE).alias("bundle"))
-    return walks.incidence(context, members)
+    _, context = walks.split_edges(references(spark, d), _universe_ids(spark, d), once=True)
+    return walks.incidence(context, F.floor(F.col("src") / BASE))
 
 
 @query(f"WITH RECURSIVE edges AS ({edges_sql()}), l AS (SELECT dst AS node, 1 AS depth FROM edges WHERE src_sig = 'SUPP' UNION SELECT e.dst, l.depth + 1 FROM l JOIN edges e ON e.src = l.node WHERE l.depth < 4), c AS (SELECT {2 * BASE} + n_nationkey AS form_id FROM nation UNION ALL SELECT {3 * BASE} + c_custkey FROM customer) SELECT form_id FROM c WHERE form_id NOT IN (SELECT node FROM l)")
